@@ -10,7 +10,9 @@ next. A source's documents are dealt to groups of about `fan` rows; each group
 leaves at most one fractional document, and these residuals meet in groups of
 `fan` on the next level, up to a single one. No group holds more than about
 `fan` documents, whatever a source's share of the rows is, and a source's taken
-words differ from its target by one document at most.
+words differ from its target by one document at most. On the last level, what the
+last document's rounding adds or lacks is made up for by other documents of its
+group, largest first, as far as they fit.
 
 All randomness is a hash of doc_id and a seed, so reruns agree. Nulls: a null
 text has size 0, a null source is a source of its own, ranked last, and a null
@@ -86,7 +88,11 @@ def _paired(t: pa.Table, last: bool) -> pa.Table:
                 p[j] = float(round(p[j]))
         held = held if 0 < p[held] < 1 else i if 0 < p[i] < 1 else -1
     if last and held >= 0:
-        p[held] = 1.0 if (u[held] * 7919) % 1 < p[held] else 0.0
+        up = (u[held] * 7919) % 1 < p[held]
+        gap, p[held] = size[held] * (p[held] - up), float(up)
+        for i in range(len(p)):  # the largest documents that fit make up for the last one's rounding
+            if i != held and 0 < size[i] <= abs(gap) and p[i] == (gap < 0):
+                gap, p[i] = gap + (size[i] if gap < 0 else -size[i]), float(gap > 0)
     for name, values in (("p", pa.array(p, pa.float64())), ("done", pa.array([x in (0.0, 1.0) for x in p], pa.bool_()))):
         t = t.set_column(t.schema.get_field_index(name), name, values)
     return t

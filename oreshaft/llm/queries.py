@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing
-from ._shared import table
+from . import decontaminate, langid, linededup, mixing, warc
+from ._shared import LOWER, UPPER, table
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,47 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op6_decontaminate, op8_language_id)}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
-ORACLES: dict[str, str] = {}
+
+OP4_SQL = f"""
+WITH line AS (
+  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), one AS (
+  SELECT doc_id, r, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM line
+), keyed AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM one
+), own AS (
+  SELECT k, min(doc_id) AS owner, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY k
+), judged AS (
+  SELECT keyed.*, coalesce(n >= 2 AND doc_id <> owner, false) AS dropped FROM keyed LEFT JOIN own USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id, r
+"""
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS latest FROM p
+)
+SELECT page_id, n AS payload_bytes, h AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> latest THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> latest THEN latest END AS refers_to
+FROM d
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_line_dedup, op5_warc, op6_decontaminate, op8_language_id)}
+
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
