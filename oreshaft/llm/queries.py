@@ -9,10 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, linededup, mixing, warc
+from . import decontaminate, fingerprint, langid, linededup, mixing, secrets, urlfilter, warc
 from ._shared import LOWER, UPPER, table
 
 
+#: The rules of op1.
+URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    weights = urlfilter.fit(urlfilter.example_table(spark))
+    return urlfilter.judge(pages, URL_RULES, weights).select("page_id", "host", "path", "rule", "verdict", "blocked_p")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"), "source", "copies")
@@ -73,6 +83,26 @@ FROM d
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_line_dedup, op5_warc, op6_decontaminate, op8_language_id)}
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.Ledger(spark).scan(docs, "text")
+    spans, base = F.col("spans"), [r.kind for r in secrets.RULES[1]]
+    return found.select(
+        "doc_id", *(secrets.count_of(spans, k).alias(f"n_{k}") for k in base),
+        F.sha2(secrets.listed(spans, base), 256).alias("base_sha256"), secrets.listed(spans).alias("spans"),
+    )
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fingerprint.edited(table(spark, sf_dir, "documents"))
+    fp, own = F.col("fp"), F.col("edited_fp")
+    return e.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        fingerprint.text_of(fp).alias("fingerprint"), fingerprint.text_of(own).alias("edited_fingerprint"),
+        fingerprint.likeness(fp, own).alias("near_edited"), fingerprint.likeness(fp, F.col("next_fp")).alias("near_next"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op8_language_id, op9_fingerprint)}
 
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
