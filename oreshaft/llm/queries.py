@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, linededup, mixing, secrets, urlfilter, warc
+from . import decontaminate, fingerprint, langid, linededup, mixing, neardup, secrets, urlfilter, warc
 from ._shared import LOWER, UPPER, table
 
 
@@ -36,6 +36,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     said = langid.predict(docs, langid.fit(docs), carry=["doc_id"])
@@ -103,6 +107,6 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op8_language_id, op9_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op7_near_duplicates, op8_language_id, op9_fingerprint)}
 
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
