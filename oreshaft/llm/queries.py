@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, langid, linededup, mixing, neardup, secrets, urlfilter, warc
+from . import decontaminate, fingerprint, langid, linededup, mixing, neardup, secrets, substring, urlfilter, warc
 from ._shared import LOWER, UPPER, table
 
 
@@ -107,6 +107,11 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op7_near_duplicates, op8_language_id, op9_fingerprint)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op7_near_duplicates, op8_language_id, op9_fingerprint, op10_substring_dedup)}
 
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
