@@ -22,7 +22,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """A JSON object for each row."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.text(path, mode=mode)
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
 
 
 def boundary_document(windows: DataFrame, top: dict[str, DataFrame]) -> DataFrame:
