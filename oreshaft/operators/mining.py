@@ -1,7 +1,9 @@
 """Counting of prefixes, suffixes, n-grams, wildcard motifs and templates in zones.
 
 Zones are rows (doc_id, zone, hexed, ...); patterns are hex text. Where a top list
-has ties the first seen comes first: by region, then length, then offset.
+has ties the first seen comes first: by region, then length, then offset. That place
+is one long, so that its minimum is reduced in hash aggregates: doc_id must be below
+2**39, lengths and offsets below 256.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ def _span(lo, hi: Column) -> Column:
     return F.explode(F.when(hi >= lo, F.sequence(F.lit(lo), hi)).otherwise(F.array().cast("array<int>")))
 
 
+def _place(k: str = "k", at: str | None = None) -> Column:
+    return F.shiftleft(F.col("doc_id"), 16) + F.col(k) * 256 + (F.col(at) if at else F.lit(0))
+
+
 def prefixes(zones: DataFrame, lo: int = 4, hi: int = 16) -> DataFrame:
     """(zone, pattern, n, seen): every prefix of lo to hi bytes."""
     each = zones.select("zone", "doc_id", "hexed", _span(lo, F.least(F.lit(hi), _length())).alias("k")).select("zone", "doc_id", "k", _piece(F.lit(0), F.col("k")).alias("pattern"))
-    return each.groupBy("zone", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("seen"))
+    return each.groupBy("zone", "pattern").agg(F.count("*").alias("n"), F.min(_place()).alias("seen"))
 
 
 def suffixes(zones: DataFrame, lo: int = 4, hi: int = 16) -> DataFrame:
     each = zones.select("zone", "doc_id", "hexed", _length().alias("len"), _span(lo, F.least(F.lit(hi), _length())).alias("k")).select("zone", "doc_id", "k", _piece(F.col("len") - F.col("k"), F.col("k")).alias("pattern"))
-    return each.groupBy("zone", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k")).alias("seen"))
+    return each.groupBy("zone", "pattern").agg(F.count("*").alias("n"), F.min(_place()).alias("seen"))
 
 
 def ngrams(zones: DataFrame, lo: int = 2, hi: int = 8, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -44,7 +50,7 @@ def ngrams(zones: DataFrame, lo: int = 2, hi: int = 8, extra: tuple[str, ...] =
 def counted(grams: DataFrame, by: tuple[str, ...] = ("zone",), tags: bool = False) -> DataFrame:
     """(by, pattern, n, seen[, sources, tags]) of n-grams."""
     more = [F.countDistinct("tag").alias("sources"), F.sort_array(F.collect_set("tag")).alias("tags")] if tags else []
-    return grams.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "k", "at")).alias("seen"), *more)
+    return grams.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.min(_place(at="at")).alias("seen"), *more)
 
 
 def top_patterns(counts: DataFrame, by: tuple[str, ...] = ("zone",), top: int = 40, least: int = 1, longest_first: bool = False) -> DataFrame:
@@ -56,7 +62,7 @@ def top_patterns(counts: DataFrame, by: tuple[str, ...] = ("zone",), top: int =
 
 def cross_device(grams: DataFrame, least_bytes: int = 4, least_devices: int = 2, top: int = 30) -> DataFrame:
     """(pattern, devices, sources): patterns of least_bytes or more in several devices, most devices first, then the longest."""
-    wide = grams.where(F.col("k") >= least_bytes).groupBy("pattern").agg(F.countDistinct("device").alias("devices"), F.countDistinct("tag").alias("sources"), F.min(F.struct("doc_id", "k", "at")).alias("seen"))
+    wide = grams.where(F.col("k") >= least_bytes).groupBy("pattern").agg(F.countDistinct("device").alias("devices"), F.countDistinct("tag").alias("sources"), F.min(_place(at="at")).alias("seen"))
     return wide.where(F.col("devices") >= least_devices).orderBy(F.col("devices").desc(), F.char_length("pattern").desc(), "seen").limit(top)
 
 
@@ -67,22 +73,39 @@ def masks(k: int, wild: int, contiguous: bool = False) -> list[tuple[int, ...]]:
     return [m for n in range(wild + 1) for m in combinations(range(k), n)]
 
 
-def masked(pattern: Column, k: int, mask: tuple[int, ...]) -> Column:
-    return F.concat(*(F.lit("??") if i in mask else F.substring(pattern, 2 * i + 1, 2) for i in range(k)))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _halves(hexed: Column) -> tuple[Column, Column]:
+    """Up to 16 bytes of hex text as two longs, zeros behind."""
+    padded = F.rpad(hexed, 32, "0")
+    return tuple(F.conv(F.substring(padded, at, 16), 16, -10).cast("bigint") for at in (1, 17))
 
 
 def motifs(zones: DataFrame, k: int = 8, wild: int = 3, contiguous: bool = False, least: int = 4, top: int = 40, by: tuple[str, ...] = ("zone",)) -> DataFrame:
-    """(by, pattern, n, fixed, seen, rank): k-grams under every mask, counted by occurrence.
+    """(by, pattern, n, fixed, seen, rank): k-grams (k up to 16) under every mask, counted by occurrence.
 
-    k-grams are counted before masks are applied, so that a frequent one is masked once.
+    k-grams are counted before masks are applied, so that a frequent one is masked
+    once; bytes and masks are longs, and only the top rows become text again.
     """
+    if not 1 <= k <= 16:
+        raise ValueError("k must be 1 to 16")
     every = masks(k, wild, contiguous)
+    bits = [int("".join("00" if i in m or i >= k else "ff" for i in range(16)), 16) for m in every]
+    high, low = (F.array(*(F.lit(_signed(b >> s & (1 << 64) - 1)).cast("bigint") for b in bits)) for s in (64, 0))
     grams = counted(ngrams(zones, k, k, tuple(c for c in by if c != "zone")), by)
-    forms = F.array(*(F.struct(masked(F.col("pattern"), k, m).alias("pattern"), F.lit(k - len(m)).alias("fixed"), F.lit(i).alias("mask")) for i, m in enumerate(every)))
-    each = grams.select(*by, "n", "seen", F.inline(forms))
-    counts = each.groupBy(*by, "pattern", "fixed").agg(F.sum("n").alias("n"), F.min(F.struct("seen", "mask")).alias("seen")).where(F.col("n") >= least)
-    order = [F.col("n").desc(), F.col("fixed").desc(), F.col("seen")]
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    g0, g1 = _halves(F.col("pattern"))
+    each = grams.select(*by, "n", "seen", g0.alias("g0"), g1.alias("g1"), F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("m"))
+    hidden = each.select(*by, "n", "m", F.col("g0").bitwiseAND(F.get(high, F.col("m"))).alias("g0"), F.col("g1").bitwiseAND(F.get(low, F.col("m"))).alias("g1"), (F.col("seen") * 128 + F.least("m", F.lit(127))).alias("seen"))
+    counts = hidden.groupBy(*by, "m", "g0", "g1").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).where(F.col("n") >= least)
+    fixed = F.get(F.array(*(F.lit(k - len(m)) for m in every)), F.col("m"))
+    order = [F.col("n").desc(), F.col("fixed").desc(), F.col("seen"), F.col("m")]
+    best = counts.withColumn("fixed", fixed).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
+    full = F.lower(F.concat(*(F.lpad(F.hex(g), 16, "0") for g in ("g0", "g1"))))
+    holes = F.get(F.array(*(F.lit("".join("?" if i in m else "." for i in range(k))) for m in every)), F.col("m"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.substring(holes, i + 1, F.lit(1)) == "?", "??").otherwise(F.substring(full, 2 * i + 1, F.lit(2))))
+    return best.select(*by, F.array_join(cells, "").alias("pattern"), "n", "fixed", "seen", "rank")
 
 
 def weight(n: str = "n", k: Column | None = None, fixed: str = "fixed", powers: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> Column:
@@ -94,17 +117,19 @@ def weight(n: str = "n", k: Column | None = None, fixed: str = "fixed", powers:
 def motif_hits(zones: DataFrame, mined: DataFrame, powers: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """(zone, doc_id, pattern, rank, off, w): each motif's first match in each zone of its kind.
 
-    Zones are cut into k-grams once; a gram meets a motif through the mask: both are
-    keyed by the mask's positions, so the join is on equal keys.
+    Zones are cut into k-grams once and met with the few distinct masks; a masked
+    gram and a motif are equal longs, so the join is on equal keys.
     """
-    wild = F.transform(F.sequence(F.lit(0), (F.char_length("pattern") / 2).cast("int") - 1), lambda i: F.substring(F.col("pattern"), 2 * i + 1, F.lit(1)) == "?")
-    keyed = mined.withColumn("holes", F.transform(wild, lambda x: F.when(x, "1").otherwise("0"))).withColumn("holes", F.array_join("holes", "")).withColumn("k", (F.char_length("pattern") / 2).cast("int"))
-    shapes = keyed.select("zone", "holes", "k").distinct()
-    sized = zones.select("zone", "doc_id", "hexed", _length().alias("len")).join(shapes, "zone").where("len >= k")
-    opened = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k"))))
-    gram = F.array_join(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.when(F.substring(F.col("holes"), i + 1, F.lit(1)) == "1", "??").otherwise(F.substring(F.col("hexed"), 2 * (F.col("at") + i) + 1, F.lit(2)))), "")
-    first = opened.select("zone", "doc_id", "at", gram.alias("pattern")).groupBy("zone", "doc_id", "pattern").agg(F.min("at").alias("off"))
-    return first.join(mined.select("zone", "pattern", "rank", weight(powers=powers).alias("w")), ["zone", "pattern"])
+    m0, m1 = _halves(F.replace(F.regexp_replace("pattern", "[0-9a-f]", "f"), F.lit("?"), F.lit("0")))
+    g0, g1 = _halves(F.replace(F.col("pattern"), F.lit("?"), F.lit("0")))
+    keyed = mined.select("zone", "pattern", "rank", weight(powers=powers).alias("w"), (F.char_length("pattern") / 2).cast("int").alias("k"), m0.alias("m0"), m1.alias("m1"), g0.alias("g0"), g1.alias("g1"))
+    shapes = keyed.select("zone", "k", "m0", "m1").distinct()
+    sized = zones.select("zone", "doc_id", "hexed", _length().alias("len")).join(keyed.select("zone", "k").distinct(), "zone").where("len >= k")
+    h0, h1 = _halves(_piece(F.col("at"), F.col("k")))
+    grams = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k")))).select("zone", "doc_id", "k", "at", h0.alias("h0"), h1.alias("h1"))
+    hidden = grams.join(shapes, ["zone", "k"]).select("zone", "doc_id", "k", "at", "m0", "m1", F.col("h0").bitwiseAND(F.col("m0")).alias("g0"), F.col("h1").bitwiseAND(F.col("m1")).alias("g1"))
+    met = hidden.join(keyed, ["zone", "k", "m0", "m1", "g0", "g1"])
+    return met.groupBy("zone", "doc_id", "pattern", "rank", "w").agg(F.min("at").alias("off"))
 
 
 def rank_by_motifs(zones: DataFrame, hits: DataFrame, start: str = "start_post", end: str = "end_pre") -> DataFrame:
@@ -131,7 +156,7 @@ def templates(zones: DataFrame, lengths=range(2, 7), least: int = 3, threshold:
     wins = ngrams(zones, lo, hi, (*(c for c in by if c != "zone"), "tag"))
     enough = wins.groupBy(*by, "k").agg(F.count("*").alias("total")).where(F.col("total") >= least)
     each = lambda df: df.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("b", F.substring(F.col("pattern"), (2 * F.col("pos") + 1).cast("int"), F.lit(2)))
-    distinct = wins.groupBy(*by, "k", "pattern").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("seen"), F.collect_set("tag").alias("tags"))
+    distinct = wins.groupBy(*by, "k", "pattern").agg(F.count("*").alias("n"), F.min(F.shiftleft(F.col("doc_id"), 16) + F.col("at")).alias("seen"), F.collect_set("tag").alias("tags"))
     counts = each(distinct).groupBy(*by, "k", "pos", "b").agg(F.sum("n").alias("n"))
     ent = _entropy(counts, [*by, "k", "pos"])
     anchors = ent.where(F.col("entropy") < threshold).groupBy(*by, "k").agg(F.sort_array(F.collect_list("pos")).alias("anchors")).join(enough, [*by, "k"]).drop("total")
