@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the driver's tables, with DuckDB SQL where SQL can say the same.
+"""Queries op1 to op10 over the driver's tables, with DuckDB SQL (oracles) where SQL can say the same.
 
 Each query applies its operator to the whole table and derives the digest
 columns of its contract from the operator's result.
@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprint, langid, linededup, mixing, neardup, secrets, substring, urlfilter, warc
-from ._shared import LOWER, UPPER, table
+from ._shared import table
+from .oracles import ORACLES as ORACLES
 
 
 #: The rules of op1.
@@ -51,22 +52,32 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
-OP4_SQL = f"""
-WITH line AS (
-  SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
-), one AS (
-  SELECT doc_id, r, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM line
-), keyed AS (
-  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS k FROM one
-), own AS (
-  SELECT k, min(doc_id) AS owner, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY k
-), judged AS (
-  SELECT keyed.*, coalesce(n >= 2 AND doc_id <> owner, false) AS dropped FROM keyed LEFT JOIN own USING (k)
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM judged GROUP BY doc_id, r
-"""
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), payloads=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return decontaminate.judged(found).select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    said = langid.predict(docs, langid.fit(docs), carry=["doc_id"])
+    return said.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,5 +124,3 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_secrets, op4_line_dedup, op5_warc, op6_decontaminate, op7_near_duplicates, op8_language_id, op9_fingerprint, op10_substring_dedup)}
-
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_warc": OP5_SQL}
