@@ -126,10 +126,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     """A network trained on rows that are not held out; None without any."""
     key = F.xxhash64(F.lit(seed), F.col(doc_id))
     at = F.pmod(key, F.greatest(F.char_length(text) - slice_chars + 1, F.lit(1))).cast("int") + 1
+    labelled = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull())
+    share = min(1.0, 2 * sample / max(1, labelled.count()))  # so that all tasks together send few rows more than are taken
     rows = (
-        docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+        labelled.where((F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(text).rlike(r"\p{L}"))
         .select(key.alias("k"), F.col(lang).cast("string").alias("lang"), F.lower(F.substring(F.col(text), at, F.lit(slice_chars))).alias("piece"))
-        .orderBy("k", "piece", "lang").limit(sample).collect()
+        .orderBy(F.pmod("k", F.lit(1 << 30)), "k", "piece", "lang").limit(sample).collect()
     )
     if not rows:
         return None
