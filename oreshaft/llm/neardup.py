@@ -16,8 +16,8 @@ spanning set of links of each node's components, never all pairs, so that a grou
 of copies costs as much as it has members. A node of more than `leaf` classes or
 `bound` shingles is first compared, in blocks of about `bound`, with one pivot:
 what is linked to it is settled, members near enough to match settled ones are
-compared with these in every block, and only what is not settled branches on. What
-is still large at the last level is compared two blocks at a time. No node, partner
+compared with these in every block and settled if they do, round by round, and only
+what is not settled branches on. What is still large at the last level is compared two blocks at a time. No node, partner
 or candidate is dropped.
 
 Texts are read twice: once for the minwise values, once for the candidates' sets,
@@ -127,43 +127,51 @@ class Sets:
         return 100 * inter >= percent * union, 1 - inter / union
 
 
-def roots_of(sets: Sets, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each member's component root (a member; the first member is the first root) and its distance to the first member."""
+def roots_of(sets: Sets, similarity: float, hosts: int = 0) -> np.ndarray:
+    """Each member's component root (a member). The first `hosts` members are known to be of one component, whose root is 0."""
     n, percent = len(sets.size), round(similarity * 100)
-    root, first = np.full(n, -1), np.zeros(n)
-    left = np.arange(n)
+    root = np.full(n, -1)
+    root[:hosts] = 0
+
+    def absorb(p: int, core: np.ndarray, unsure: np.ndarray, far: np.ndarray) -> None:
+        """Join to p's component what links with its core, and, followed in full, what links with that."""
+        for u in unsure:
+            if root[u] < 0 and sets.near(u, core, percent)[0].any():
+                root[u], queue = p, [u]
+                while queue:
+                    v, rest = queue.pop(), far[root[far] < 0]
+                    more = rest[sets.near(v, rest, percent)[0]]
+                    root[more] = p
+                    queue += list(more)
+
+    if hosts:
+        guests = np.arange(hosts, n)
+        absorb(0, np.arange(hosts), guests, guests)
+    left = np.flatnonzero(root < 0)
     while len(left):
         p, left = left[0], left[1:]
         root[p] = p
         linked, d = sets.near(p, left, percent)
-        if p == 0:
-            first[left] = d
         core, far = np.concatenate(([p], left[linked])), left[~linked]
         root[core] = p
         if linked.any():
-            limit = 1 - similarity + d[linked].max() + 1e-9
-            for u in far[d[~linked] <= limit]:
-                if root[u] < 0 and sets.near(u, core, percent)[0].any():
-                    root[u], queue = p, [u]
-                    while queue:  # what joined through others is followed in full
-                        v, rest = queue.pop(), far[root[far] < 0]
-                        more = rest[sets.near(v, rest, percent)[0]]
-                        root[more] = p
-                        queue += list(more)
+            absorb(p, core, far[d[~linked] <= 1 - similarity + d[linked].max() + 1e-9], far)
         left = far[root[far] < 0]
-    return root, first
+    return root
 
 
 def _solver(n: int, similarity: float, fold: bool, pivot: bool):
     """Rows (key, block, id, lead, text), a group's together and its lead first, to rows (key, id, root, d).
 
-    With pivot every member is compared with the lead alone and given a row; else a
-    group's components are found and every member but its component's root has one.
+    With pivot every member is compared with the lead alone, at distance d, and has a
+    row. Else leads are hosts, known to be of one component, and the group's
+    components are found; members that are neither hosts nor their component's root
+    have a row, with d 0 where they are of the hosts' component and else 1.
     """
     seps, percent = separators(), round(similarity * 100)
     names = ["key", "id", "root", "d"]
 
-    def solved(key: int, ids: list[int], parts: list[np.ndarray]) -> Iterator[tuple]:
+    def solved(key: int, ids: list[int], parts: list[np.ndarray], hosts: int) -> Iterator[tuple]:
         if len(parts) < 2 and not pivot:
             return
         sets = Sets(parts)
@@ -171,8 +179,9 @@ def _solver(n: int, similarity: float, fold: bool, pivot: bool):
             linked, d = sets.near(0, np.arange(len(parts)), percent)
             root = np.where(linked, 0, np.arange(len(parts)))
         else:
-            root, d = roots_of(sets, similarity)
-        for i in range(len(parts)):
+            root = roots_of(sets, similarity, hosts)
+            d = root >= hosts
+        for i in range(0 if pivot else hosts, len(parts)):
             if pivot or root[i] != i:
                 yield key, ids[i], ids[root[i]], float(d[i])
 
@@ -181,25 +190,26 @@ def _solver(n: int, similarity: float, fold: bool, pivot: bool):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
-        now, ids, parts, rows = None, [], [], []
+        now, ids, parts, hosts, rows = None, [], [], 0, []
         for b in batches:
-            keys, blocks, own = (b.column(i).to_pylist() for i in range(3))
+            keys, blocks, own, leads = (b.column(i).to_pylist() for i in range(4))
             for t in texts(b.column(4), seps, fold):
                 x, bounds = shingles(t, t.hashes(), n)
                 for i in range(len(t.counts)):
                     r = t.first + i
                     if (keys[r], blocks[r]) != now:
                         if now is not None:
-                            rows += solved(now[0], ids, parts)
-                        now, ids, parts = (keys[r], blocks[r]), [], []
+                            rows += solved(now[0], ids, parts, hosts)
+                        now, ids, parts, hosts = (keys[r], blocks[r]), [], [], 0
                         if len(rows) >= 20_000:
                             yield batch(rows)
                             rows = []
                     if bounds[i + 1] > bounds[i]:
                         ids.append(own[r])
+                        hosts += leads[r]
                         parts.append(x[bounds[i] : bounds[i + 1]].copy())
         if now is not None:
-            rows += solved(now[0], ids, parts)
+            rows += solved(now[0], ids, parts, hosts)
         if rows:
             yield batch(rows)
 
@@ -239,7 +249,7 @@ class Join:
             big = counts.where(large).select("key", F.ceil(F.col("sum") / self.bound).cast("int").alias("blocks"))
             if big.isEmpty():
                 break
-            rest = self.settle(rows.join(big, "key"))
+            rest = self.settle(rows.join(big, "key"), level)
             if level > DEPTH:
                 self.by_blocks(rest)
                 break
@@ -253,27 +263,47 @@ class Join:
     def _fetch(self, candidates: DataFrame) -> None:
         """Candidates' texts, shuffled once and kept by id, so that no comparison shuffles them by id again."""
         name = f"near_texts_{uuid.uuid4().hex}"
-        wanted = self.docs.join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").repartition(self.parts, "doc_id")
+        wanted = self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
         wanted.write.option("path", scratch(self.docs.sparkSession, "texts")).bucketBy(self.parts, "doc_id").sortBy("doc_id").saveAsTable(name)
         self.texts, self.name = self.docs.sparkSession.table(name), name
 
-    def settle(self, big: DataFrame) -> DataFrame:
-        """Compare large nodes' members with a pivot each; returns the rows that are not linked to it."""
-        lead = big.groupBy("key").agg(F.min_by("rep", F.xxhash64("key", "rep")).alias("lead_id"))
-        big = written(big.join(lead, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "big")
+    def pivots(self, big: DataFrame, level: int) -> DataFrame:
+        """(key, lead_id, blocks): a member of each node's largest group by a minwise token that its path doesn't use."""
+        other = F.get("mh", (F.col("tree") + 1) % self.trees * POOL + level - 1)
+        groups = big.join(self.reps.select("rep", "mh", F.xxhash64("rep", "sa", "sb").alias("w")), ["rep", "w"]).groupBy("key", "blocks", other.alias("token")).agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("key", "rep")).alias("lead_id"))
+        return groups.groupBy("key", "blocks").agg(F.max_by("lead_id", F.struct("size", "token")).alias("lead_id"))
+
+    def settle(self, big: DataFrame, level: int) -> DataFrame:
+        """Compare large nodes' members with a pivot each; returns the rows that are not of its component.
+
+        What links with the pivot is settled. Members that may link with settled ones,
+        by the triangle inequality, are guests: all of a node's guests go to each of its
+        blocks, to be compared with the block's settled members and with each other.
+        Those that join are settled too, and the next round looks for their guests.
+        """
+        big = written(big.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "big")
         every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        leads = big.where("rep = lead_id").select("key", every.alias("block"), "rep", F.lit(True).alias("lead"))
-        plain = lambda rows: rows.select("key", "block", "rep", F.lit(False).alias("lead"))
-        compared = self.compare(leads.unionByName(plain(big.where("rep <> lead_id"))), pivot=True)
+        leads = self.pivots(big, level).select("key", every.alias("block"), F.col("lead_id").alias("rep"), F.lit(True).alias("lead"))
+        compared = self.compare(leads.unionByName(big.select("key", "block", "rep", F.lit(False).alias("lead"))), pivot=True)
         self.keep(compared)
         said = compared.groupBy("key", F.col("id").alias("rep")).agg(F.min("d").alias("d"), F.max(F.col("id") != F.col("root")).alias("linked"))
-        state = written(big.join(said, ["key", "rep"]).withColumn("settled", F.col("linked") | (F.col("rep") == F.col("lead_id"))), "state")
-        reach = state.where("settled").groupBy("key").agg(F.max("d").alias("reach"))
-        unsure = state.where("not settled").join(reach, "key").where(F.col("d") <= F.col("reach") + (1 - self.similarity) + 1e-9)
-        hosts = state.where("settled").join(unsure.select("key").distinct(), "key", "left_semi")
-        guests = unsure.select("key", every.alias("block"), "rep", F.lit(False).alias("lead"))
-        self.keep(self.compare(guests.unionByName(plain(hosts))))
-        return state.where("not settled")
+        state = written(big.join(said, ["key", "rep"]).withColumn("settled", F.col("linked") | (F.col("d") == 0)), "state")
+        hosts, rest, limit = state.where("settled"), state.where("not settled"), 1 - self.similarity
+        while True:
+            limit += 1 - self.similarity  # hosts are within the limit before, and link no farther than one step more
+            near = rest.where(F.col("d") <= limit + 1e-9)
+            unsure = written(near.join(hosts.select("key").distinct(), "key", "left_semi"), "unsure")
+            if unsure.isEmpty():
+                return rest
+            guests = unsure.select("key", every.alias("block"), "rep", F.lit(False).alias("lead"))
+            asked = hosts.join(unsure.select("key").distinct(), "key", "left_semi").select("key", "block", "rep", F.lit(True).alias("lead"))
+            compared = self.compare(asked.unionByName(guests))
+            self.keep(compared)
+            joined = compared.where("d = 0").select("key", F.col("id").alias("rep")).distinct()
+            hosts = written(unsure.join(joined, ["key", "rep"], "left_semi"), "hosts")
+            if hosts.isEmpty():
+                return rest
+            rest = written(rest.join(joined, ["key", "rep"], "left_anti"), "rest")
 
     def branch(self, rest: DataFrame, level: int) -> DataFrame:
         """Children of the nodes of rest by two more minwise tokens each."""
