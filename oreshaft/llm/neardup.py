@@ -224,6 +224,14 @@ class Join:
         self.trees = trees_for(recall, similarity)
         self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.found: list[DataFrame] = []
+        self.names: list[str] = []
+
+    def bucketed(self, rows: DataFrame, key: str) -> DataFrame:
+        """rows, already dealt by key, as a table that joins on key read without a shuffle."""
+        name = f"near_{uuid.uuid4().hex}"
+        rows.write.option("path", scratch(self.docs.sparkSession, "near")).bucketBy(self.parts, key).sortBy(key).saveAsTable(name)
+        self.names.append(name)
+        return self.docs.sparkSession.table(name)
 
     def compare(self, members: DataFrame, pivot: bool = False) -> DataFrame:
         """Solve the groups (key, block) of members (key, block, rep, lead)."""
@@ -236,6 +244,7 @@ class Join:
 
     def links(self) -> DataFrame:
         """(a, b): a spanning set of the links between classes."""
+        self.held = self.bucketed(self.reps.repartition(self.parts, "rep"), "rep")
         tree = F.sequence(F.lit(0), F.lit(self.trees - 1))
         roots = F.transform(tree, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mh", t * POOL)).alias("key")))
         rows = written(self.reps.select("rep", "n", F.xxhash64("rep", "sa", "sb").alias("w"), F.explode(roots).alias("r")).select("r.tree", "r.key", "rep", "n", "w"), "nodes")
@@ -262,15 +271,17 @@ class Join:
 
     def _fetch(self, candidates: DataFrame) -> None:
         """Candidates' texts, shuffled once and kept by id, so that no comparison shuffles them by id again."""
-        name = f"near_texts_{uuid.uuid4().hex}"
-        wanted = self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-        wanted.write.option("path", scratch(self.docs.sparkSession, "texts")).bucketBy(self.parts, "doc_id").sortBy("doc_id").saveAsTable(name)
-        self.texts, self.name = self.docs.sparkSession.table(name), name
+        self.texts = self.bucketed(self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "doc_id")
+
+    def with_mh(self, rows: DataFrame) -> DataFrame:
+        """rows with their classes' minwise values; only rep is a join key, so that the values are not shuffled."""
+        mh = self.held.select(F.col("rep").alias("__rep"), "mh", F.xxhash64("rep", "sa", "sb").alias("__w"))
+        return rows.join(mh, (F.col("rep") == F.col("__rep")) & (F.col("w").bitwiseXOR(F.col("__w")) == 0)).drop("__rep", "__w")
 
     def pivots(self, big: DataFrame, level: int) -> DataFrame:
         """(key, lead_id, blocks): a member of each node's largest group by a minwise token that its path doesn't use."""
         other = F.get("mh", (F.col("tree") + 1) % self.trees * POOL + level - 1)
-        groups = big.join(self.reps.select("rep", "mh", F.xxhash64("rep", "sa", "sb").alias("w")), ["rep", "w"]).groupBy("key", "blocks", other.alias("token")).agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("key", "rep")).alias("lead_id"))
+        groups = self.with_mh(big).groupBy("key", "blocks", other.alias("token")).agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("key", "rep")).alias("lead_id"))
         return groups.groupBy("key", "blocks").agg(F.max_by("lead_id", F.struct("size", "token")).alias("lead_id"))
 
     def settle(self, big: DataFrame, level: int) -> DataFrame:
@@ -309,8 +320,7 @@ class Join:
         """Children of the nodes of rest by two more minwise tokens each."""
         at = [BRANCH * (level - 1) + 1 + i for i in range(BRANCH)]
         keys = F.array(*(F.xxhash64("key", F.lit(i), F.get("mh", F.col("tree") * POOL + i)) for i in at))
-        mh = self.reps.select("rep", "mh", F.xxhash64("rep", "sa", "sb").alias("w"))
-        return rest.join(mh, ["rep", "w"]).select("tree", F.explode(keys).alias("key"), "rep", "n", "w")
+        return self.with_mh(rest).select("tree", F.explode(keys).alias("key"), "rep", "n", "w")
 
     def by_blocks(self, rest: DataFrame) -> None:
         """Compare what large nodes of the last level still hold, every two blocks of a node."""
@@ -333,7 +343,8 @@ class Join:
         self.keep(self.compare(members))
 
     def close(self) -> None:
-        self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for name in self.names:
+            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = SIMILARITY, recall: float = RECALL, fold: bool = True, leaf: int = LEAF, bound: int = BOUND) -> DataFrame:
