@@ -541,11 +541,11 @@ def best_k(spark, sf_dir):
     return stats.best_k(stats.rounded(stats.phase_scores(_series(spark, sf_dir)), "score", digits=12), ["doc_id"])
 
 
-@query(f"""WITH {BLOB}, w AS (SELECT doc_id, off, substr(hx, 2 * off + 1, 5120) AS h FROM (SELECT *, unnest(range(0, n - 2560, 512)) AS off FROM blob)),
+@query(f"""WITH {BLOB}, w AS (SELECT doc_id, off, substr(hx, 2 * off + 1, 5120) AS h FROM (SELECT *, unnest(range(0, n - 2560, 16)) AS off FROM blob)),
 c AS (SELECT doc_id, off, b, count(*) AS n FROM (SELECT doc_id, off, unnest(regexp_extract_all(h, '..')) AS b FROM w) GROUP BY ALL)
 SELECT doc_id, off, round(-sum((n / 2560) * log2(n / 2560)), 6) AS entropy FROM c GROUP BY ALL""")
 def sliding_entropy(spark, sf_dir):
-    return stats.rounded(stats.sliding_entropy(_series(spark, sf_dir), 2560, 512), "entropy")
+    return stats.rounded(stats.sliding_entropy(_series(spark, sf_dir)), "entropy")
 
 
 # --- pages --------------------------------------------------------------------

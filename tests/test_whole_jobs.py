@@ -1,0 +1,30 @@
+"""Queries against sequential Python, on small tables that show whether a job is done whole."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import pytest
+
+from oreshaft import catalog
+
+
+def saved_documents(spark, tmp_path, texts):
+    """A folder of tables with these texts as documents 0, 1, ..."""
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_sliding_entropy_moves_by_16_bytes(spark, tmp_path):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefg é") for _ in range(n)) for n in (10, 2000, 2600, 4000)] + ["ab" * 1280, "ab" * 1281]
+    got = {(x["doc_id"], x["off"]): x["entropy"] for x in catalog.QUERIES["sliding_entropy"](spark, saved_documents(spark, tmp_path, texts)).collect()}
+    want = {}
+    for i, b in enumerate(t.encode() for t in texts):
+        for off in range(0, len(b) - 2560, 16):
+            want[(i, off)] = -sum(v / 2560 * math.log2(v / 2560) for v in Counter(b[off : off + 2560]).values())
+    assert set(got) == set(want) and (5, 0) in got and (4, 0) not in got
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
