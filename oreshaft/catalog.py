@@ -514,11 +514,11 @@ def _series(spark, sf_dir):
 
 
 @query(f"""WITH {SHORT}, m AS (SELECT x.doc_id, lag, count(*) AS n, sum(CAST(x.b AS BIGINT)) AS a, sum(CAST(y.b AS BIGINT)) AS c, sum(CAST(x.b * y.b AS BIGINT)) AS ac, sum(CAST(x.b * x.b AS BIGINT)) AS aa, sum(CAST(y.b * y.b AS BIGINT)) AS cc
-  FROM (SELECT *, unnest(range(1, 9)) AS lag FROM sb) x JOIN sb y ON y.doc_id = x.doc_id AND y.pos = x.pos + x.lag GROUP BY ALL)
+  FROM (SELECT *, unnest(range(1, 65)) AS lag FROM sb) x JOIN sb y ON y.doc_id = x.doc_id AND y.pos = x.pos + x.lag GROUP BY ALL)
 SELECT doc_id, lag, round(coalesce(CAST(m.n * ac - a * c AS DOUBLE) / nullif(sqrt(CAST(m.n * aa - a * a AS DOUBLE)) * sqrt(CAST(m.n * cc - c * c AS DOUBLE)), 0), 0), 6) + 0.0 AS r
-FROM (SELECT doc_id, unnest(range(1, CASE WHEN n >= 10 THEN 9 ELSE greatest(2, n - 1) END)) AS lag FROM blob) g LEFT JOIN m USING (doc_id, lag)""")
+FROM (SELECT doc_id, unnest(range(1, CASE WHEN n >= 66 THEN 65 ELSE greatest(2, n - 1) END)) AS lag FROM blob) g LEFT JOIN m USING (doc_id, lag)""")
 def autocorr(spark, sf_dir):
-    return stats.rounded(stats.autocorrelation(_series(spark, sf_dir), max_lag=8), "r")
+    return stats.rounded(stats.autocorrelation(_series(spark, sf_dir)), "r")
 
 
 PHASE = SHORT + """, ph AS (SELECT doc_id, k, pos % k AS j, b, count(*) AS n FROM (SELECT *, unnest({ks}) AS k FROM sb) GROUP BY ALL),

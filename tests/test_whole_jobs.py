@@ -28,3 +28,24 @@ def test_sliding_entropy_moves_by_16_bytes(spark, tmp_path):
             want[(i, off)] = -sum(v / 2560 * math.log2(v / 2560) for v in Counter(b[off : off + 2560]).values())
     assert set(got) == set(want) and (5, 0) in got and (4, 0) not in got
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def pearson(x: bytes, lag: int) -> float:
+    a, b = x[:-lag], x[lag:]
+    n = len(a)
+    cov, va, vb = (n * sum(p * q for p, q in zip(y, z)) - sum(y) * sum(z) for y, z in ((a, b), (a, a), (b, b)))
+    return cov / math.sqrt(va * vb) if va * vb > 0 else 0.0
+
+
+def test_autocorr_has_64_lags(spark, tmp_path):
+    r = random.Random(12)
+    block = "".join(r.choice("abcdefgh") for _ in range(40))
+    texts = ["".join(r.choice("abc é") for _ in range(n)) for n in (3, 20, 64, 300)] + [block * 5, "a" * 100, "ab" * 33]
+    got = {(x["doc_id"], x["lag"]): x["r"] for x in catalog.QUERIES["autocorr"](spark, saved_documents(spark, tmp_path, texts)).collect()}
+    want = {}
+    for i, b in enumerate(t.encode() for t in texts):
+        for lag in range(1, 1 + (64 if len(b) >= 66 else max(1, len(b) - 2))):
+            want[(i, lag)] = pearson(b, lag)
+    assert set(got) == set(want) and max(lag for _, lag in got) == 64
+    assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    assert got[(4, 40)] == pytest.approx(1)  # a period that short lags don't see
