@@ -531,9 +531,9 @@ js AS (SELECT doc_id, k, i, j, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q /
 sc AS (SELECT doc_id, k, avg(d) AS score FROM js GROUP BY ALL)"""
 
 
-@query(f"WITH {PHASE.format(ks=[2, 3])} SELECT doc_id, CAST(k AS BIGINT) AS k, round(score, 6) AS score FROM sc")
+@query(f"WITH {PHASE.format(ks=list(range(2, 9)))} SELECT doc_id, CAST(k AS BIGINT) AS k, round(score, 6) AS score FROM sc")
 def phase_scores(spark, sf_dir):
-    return stats.rounded(stats.phase_scores(_series(spark, sf_dir), (2, 3)), "score")
+    return stats.rounded(stats.phase_scores(_series(spark, sf_dir)), "score")
 
 
 @query(f"WITH {PHASE.format(ks=list(range(2, 9)))} SELECT doc_id, CAST(max_by(k, (round(score, 12), -k)) AS BIGINT) AS best_k FROM sc GROUP BY doc_id")
