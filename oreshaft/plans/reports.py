@@ -6,7 +6,7 @@ reports are known by; every one of them takes effect.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ class Miner:
     threshold: float | None = None
     fixed_below: float = 1.0
     groups: dict[str, list[str]] = field(default_factory=dict)
+    template_min_occ: int | None = None
 
     @property
     def least(self) -> int:
@@ -48,7 +49,7 @@ def miner(found: DataFrame, p: Miner | None = None) -> dict[str, DataFrame]:
     hits = signatures.scan(zones, signatures.registry(p.version))
     inner = zones.where(F.col("zone").isin("prologue", "epilogue"))
     threshold = p.threshold if p.threshold is not None else 3.0
-    made = mining.templates(inner, p.spans, p.least, threshold, p.fixed_below)
+    made = mining.templates(inner, p.spans, p.template_min_occ or p.least, threshold, p.fixed_below)
     return {
         "counts": regions.region_counts(found),
         "alignment": regions.alignment(found),
@@ -70,17 +71,19 @@ def miner(found: DataFrame, p: Miner | None = None) -> dict[str, DataFrame]:
 def grouped_miner(found: DataFrame, p: Miner) -> dict[str, dict[str, DataFrame]]:
     """The miner's sections for each device group that has regions by its parameters, and for all regions (combined).
 
-    Groups' templates need at least max(2, regions // 8) windows and an entropy
-    below 2.5 at their anchors unless the parameters say otherwise.
+    Templates of each group and of all regions need at least max(2, regions // 8)
+    windows, and those of a group an entropy below 2.5 at their anchors, unless the
+    parameters say otherwise. Other patterns keep the parameters' minimum.
     """
     routed = regions.route_groups(found, p.groups)
     out = {}
     for name in (*p.groups, "combined"):
         own = routed.where(F.col("grp") == name).drop("grp")
         use = p
-        if name != "combined" and p.min_occ is None:
-            size = own.count()
-            use = Miner(**{**p.__dict__, "min_occ": max(2, size // 8), "threshold": p.threshold if p.threshold is not None else 2.5})
+        if p.template_min_occ is None:
+            use = replace(use, template_min_occ=max(2, regions.region_counts(own).first()["regions"] // 8))
+        if name != "combined" and p.threshold is None:
+            use = replace(use, threshold=2.5)
         out[name] = miner(own, use)
     return out
 

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from oreshaft import catalog
+from oreshaft.plans import reports
 
 
 def saved_documents(spark, tmp_path, texts):
@@ -70,3 +71,16 @@ def test_phase_scores_has_two_to_eight_phases(spark, tmp_path):
     assert set(got) == set(want)
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
     assert got[(3, 7)] == pytest.approx(1, abs=1e-6)
+
+
+def test_an_eighth_of_the_regions_is_the_minimum_of_templates_alone(spark):
+    r = random.Random(14)
+    fill = lambda n: bytes(r.randrange(256) for _ in range(n))
+    starts = {"de": [b"\x0a\x0b\x0c\x0d"] + [fill(4) for _ in range(7)], "en": [b"\x01\x02\x03\x04"] * 4 + [b"\x0a\x0b\x0c\x0d"] * 4 + [b"\x11\x12\x13\x14"] * 2 + [fill(4) for _ in range(22)]}
+    rows = [(d, head + fill(36)) for d, heads in starts.items() for head in heads]
+    found = spark.createDataFrame([(i, d, f"{i}.dat", c, 0, 40) for i, (d, c) in enumerate(rows)], "doc_id long, device string, file_name string, content binary, start long, `end` long")
+    parts = reports.grouped_miner(found, reports.Miner(version=3, lengths=(4,), threshold=9.0, top=10**6, groups={"A": ["en"]}))
+    patterns = {k: {x["pattern"]: x["n"] for x in v["patterns"].where("zone = 'prologue'").collect()} for k, v in parts.items()}
+    templates = {k: {x["template"]: x["n"] for x in v["templates"].where("zone = 'prologue'").collect()} for k, v in parts.items()}
+    assert all(patterns[k]["11121314"] == 2 for k in ("A", "combined"))  # n-grams: 2 of 32 and of 40 regions
+    assert templates["A"] == {"01020304": 4, "0a0b0c0d": 4} and templates["combined"] == {"0a0b0c0d": 5}
