@@ -347,6 +347,19 @@ class Join:
             self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def own_links(sketch: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): links between the representatives of all classes that one doc_id's rows belong to.
+
+    Only doc_ids of several rows are shuffled with their classes.
+    """
+    valid = sketch.where("n > 0 and doc_id is not null").select("doc_id", "n", "sa", "sb")
+    several = valid.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    classes = valid.join(several, "doc_id", "left_semi").distinct().join(reps.select("n", "sa", "sb", "rep"), ["n", "sa", "sb"])
+    held = written(classes.select("doc_id", "rep"), "owned")
+    first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
+    return held.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = SIMILARITY, recall: float = RECALL, fold: bool = True, leaf: int = LEAF, bound: int = BOUND) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; kept marks each group's smallest doc_id."""
     trees = trees_for(recall, similarity)
@@ -355,7 +368,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sketch = written(map_texts(base, lambda: _sketcher(shingle, trees * POOL, fold), fields, carry=["doc_id"]), "sketch")
     reps = written(sketch.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.min_by("mh", "doc_id").alias("mh")), "reps")
     join = Join(reps, base, shingle, similarity, recall, fold, leaf, bound)
-    label = components(join.links())
+    label = components(join.links().unionByName(own_links(sketch, reps)))
     join.close()
     group = reps.select("n", "sa", "sb", "rep").join(label, F.col("rep") == F.col("v"), "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "sa", "sb").join(group, ["n", "sa", "sb"], "left")
