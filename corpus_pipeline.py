@@ -48,8 +48,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, with size, source_size, target and copies."""
-    mixed = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(*(F.max(c).alias(c) for c in ("size", "source_size", "target", "copies")))
-    return docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns, "size", "source_size", "target", "copies")
+    numbered = written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")  # ids may be null or repeat
+    figures = ["size", "source_size", "target", "copies"]
+    mixed = mixing.mix(numbered, row="__row").where("copies > 0").select(F.col("row").alias("__row"), *figures)
+    return numbered.join(mixed, "__row").select(*docs.columns, *figures)
 
 
 STAGES = [

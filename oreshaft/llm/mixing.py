@@ -68,7 +68,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = 3.0) -> DataFrame:
 
 def _paired(t: pa.Table, last: bool) -> pa.Table:
     """One group through the pivotal method: at most one row stays fractional, none if last."""
-    t = t.sort_by([("size", "descending"), ("u", "ascending"), ("p", "ascending")])  # so that a small document is left
+    order = [("size", "descending"), ("u", "ascending"), ("p", "ascending"), *([("row", "ascending")] if "row" in t.column_names else [])]
+    t = t.sort_by(order)  # so that a small document is left
     p, size, u = (t[c].to_pylist() for c in ("p", "size", "u"))
     held = -1
     for i in range(len(p)):
@@ -102,10 +103,14 @@ def _pairing(last: bool):
     return lambda t: _paired(t, last)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, most: float = 3.0, fan: int = FAN, seed: int = 5) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies, a row for each row of docs."""
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, most: float = 3.0, fan: int = FAN, seed: int = 5, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target and copies, a row for each row of docs.
+
+    row names a column that tells rows apart; it is then the column row of the result.
+    """
+    own = [F.col(row).alias("row")] if row else []
     sizes = written(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")),
+        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *own),
         "sizes",
     )
     table = targets(sizes, weights, most)
@@ -132,4 +137,4 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"), *(["row"] if row else []))
