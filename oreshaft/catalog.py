@@ -341,14 +341,14 @@ c AS (SELECT zone, pattern, count(*) AS n, min((doc_id, k)) AS seen FROM e GROUP
 PREFIX, SUFFIX = _ENDS.format(piece="substr(hexed, 1, 2 * k)"), _ENDS.format(piece="substr(hexed, length(hexed) - 2 * k + 1, 2 * k)")
 
 
-@query(f"WITH {WINDOWS}, {PREFIX} SELECT zone, pattern, n FROM c WHERE n >= 2")
+@query(f"WITH {WINDOWS}, {PREFIX} SELECT zone, pattern, n FROM c")
 def prefix_counts(spark, sf_dir):
-    return mining.prefixes(_windows(spark, sf_dir)).where("n >= 2").select("zone", "pattern", "n")
+    return mining.prefixes(_windows(spark, sf_dir)).select("zone", "pattern", "n")
 
 
-@query(f"WITH {WINDOWS}, {SUFFIX} SELECT zone, pattern, n FROM c WHERE n >= 2")
+@query(f"WITH {WINDOWS}, {SUFFIX} SELECT zone, pattern, n FROM c")
 def suffix_counts(spark, sf_dir):
-    return mining.suffixes(_windows(spark, sf_dir)).where("n >= 2").select("zone", "pattern", "n")
+    return mining.suffixes(_windows(spark, sf_dir)).select("zone", "pattern", "n")
 
 
 @query(f"""WITH {WINDOWS}, p AS (WITH {PREFIX} SELECT * FROM c WHERE zone IN ('start_post', 'end_post')), q AS (WITH {SUFFIX} SELECT * FROM c WHERE zone IN ('start_pre', 'end_pre'))

@@ -84,3 +84,11 @@ def test_an_eighth_of_the_regions_is_the_minimum_of_templates_alone(spark):
     templates = {k: {x["template"]: x["n"] for x in v["templates"].where("zone = 'prologue'").collect()} for k, v in parts.items()}
     assert all(patterns[k]["11121314"] == 2 for k in ("A", "combined"))  # n-grams: 2 of 32 and of 40 regions
     assert templates["A"] == {"01020304": 4, "0a0b0c0d": 4} and templates["combined"] == {"0a0b0c0d": 5}
+
+
+def test_ends_seen_once_are_counted(spark, sf_dir):
+    windows = [(x["zone"], x["hexed"]) for x in catalog._windows(spark, sf_dir).select("zone", "hexed").collect()]
+    cut = {"prefix_counts": lambda h, k: h[: 2 * k], "suffix_counts": lambda h, k: h[len(h) - 2 * k :]}
+    for name, piece in cut.items():
+        want = Counter((z, piece(h, k)) for z, h in windows for k in range(4, min(16, len(h) // 2) + 1))
+        assert {(x["zone"], x["pattern"]): x["n"] for x in catalog.QUERIES[name](spark, sf_dir).collect()} == want and min(want.values()) == 1
