@@ -2,37 +2,41 @@
 
 Documents are sets of word shingles. Equal sets are one class, represented by the
 smallest doc_id. Classes descend independent trees: a tree's root splits them by
-one of its minwise tokens; a node of more than `leaf` classes branches on two
-more tokens of its tree, so that a pair of similarity 0.8 or more survives any
-depth with a probability of about 0.75 a tree, and the number of trees follows
-from the target recall. Nodes are told by a hash of their path, counted, and
-branched level by level in Spark; only nodes that are large take part in the next
-level. Of nodes with the same members one is kept.
-
-Nodes are then compared exhaustively on full shingle sets: a pivot is compared
-with all, and, by the triangle inequality of Jaccard distance, only members near
-enough to the pivot's matches are compared with these. What comes out is a
-spanning set of links of each node's components, never all pairs, so that a group
-of copies costs as much as it has members. A node of more than `leaf` classes or
-`bound` shingles is first compared, in blocks of about `bound`, with one pivot:
-what is linked to it is settled, members near enough to match settled ones are
-compared with these in every block and settled if they do, round by round, and only
-what is not settled branches on. What is still large at the last level is compared two blocks at a time. No node, partner
-or candidate is dropped.
-
-Texts are read twice: once for the minwise values, once for the candidates' sets,
-which are shuffled once and kept by id for all comparisons.
+one of its minwise tokens; a node of more than `leaf` classes or `bound` shingles
+branches on two more minwise tokens, so that a pair of similarity 0.8 or more
+survives any depth with a probability of 0.75 a tree, and the number of trees
+follows from the target recall. Nodes are told by a hash of their path, counted,
+and branched level by level in Spark; only large nodes take part in the next
+level. Of small nodes with the same members one is kept.
+
+Small nodes are compared exhaustively on full shingle sets. In a node, members that
+share no token among the rarest ones, of which two similar sets must share one, are
+told apart first; of the others a pivot is compared with all, and, by the triangle
+inequality of Jaccard distance, only members near enough to the pivot's matches are
+compared with these. What comes out is a spanning set of links of each node's
+components, never all pairs, so that a group of copies costs as much as it has
+members.
+
+A large node is first compared, in blocks of about `bound`, with one pivot. What
+links with it are its hosts, one component, which go no further. Others that the
+triangle inequality lets link with a host are guests: each block of a node's guests
+is compared with each block of its hosts. All but the hosts branch on, and so each
+level costs two comparisons, whatever the data. What is still large at the last
+level is compared two blocks at a time. No node, partner or candidate is dropped.
+
+Texts are read twice: once for the roots' tokens, once for the candidates' sets,
+which are shuffled once and kept by id for all comparisons and branches.
 Links become components by label propagation (see components).
 
 Nulls: a null text, or one without words, has an empty set, links with nothing and
 is kept. A null doc_id links with nothing, has a null component and is kept. Rows
-of one doc_id are one document, whose texts are linked.
+of one doc_id are one document, whose texts are linked. doc_ids are integers. An
+empty table gives an empty result; other columns of docs are not looked at.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,17 +44,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch, written
+from ._shared import Scratch
 from ._words import map_texts, mix, separators, shingles, texts
 from .components import components
 
 SIMILARITY = 0.8
 RECALL = 0.99999
-DEPTH = 3
+DEPTH = 5
 BRANCH = 2
-POOL = 1 + BRANCH * DEPTH
-LEAF = 512
+LEAF = 4096
 BOUND = 1 << 21
+#: Nodes of fewer members are compared at once, without looking for rare tokens.
+FEW = 24
 
 
 def trees_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
@@ -61,9 +66,11 @@ def trees_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity * g))
 
 
-def _sketcher(n: int, count: int, fold: bool):
+def _sketcher(n: int, trees: int, level: int, fold: bool):
+    """Set sizes, two checksums, and minwise tokens: one of each tree at level 0, else BRANCH of each."""
     seps = separators()
-    r = np.random.default_rng(20)
+    count = trees * (BRANCH if level else 1)
+    r = np.random.default_rng([20, level])
     mul = (r.integers(0, 1 << 31, count).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
     add = r.integers(0, 1 << 32, count).astype(np.uint32)
 
@@ -96,8 +103,11 @@ def _sketcher(n: int, count: int, fold: bool):
     return kernel
 
 
+SKETCH = {"n": "bigint", "sa": "bigint", "sb": "bigint", "mh": "array<int>"}
+
+
 class Sets:
-    """Some members' shingle sets under small codes, for passes of one member against all."""
+    """Some members' shingle sets under small codes, for passes of one member against others."""
 
     def __init__(self, parts: list[np.ndarray]):
         self.size = np.array([len(p) for p in parts])
@@ -126,92 +136,123 @@ class Sets:
         union = self.size[i] + self.size[among] - inter
         return 100 * inter >= percent * union, 1 - inter / union
 
+    def apart(self, percent: int) -> list[np.ndarray]:
+        """Members in groups between which no two are linked; members that link with none are left out.
+
+        A set linked with another shares more than its size less percent of it with
+        it, and so has one of its rarest tokens, that many and one more, in common with
+        the other's: groups are what such tokens connect.
+        """
+        member = np.repeat(np.arange(len(self.size)), self.size)
+        order = np.lexsort((self.codes, np.bincount(self.codes)[self.codes], member))
+        rank = np.arange(len(order)) - np.repeat(self.bounds[:-1], self.size)
+        first = rank <= (self.size - -(-percent * self.size // 100))[member]
+        code, owner = self.codes[order][first], member[first]
+        label = np.arange(len(self.size))
+        while True:
+            least = np.full(len(self.flag), len(label))
+            np.minimum.at(least, code, label[owner])
+            new = label.copy()
+            np.minimum.at(new, owner, least[code])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        order = np.argsort(label, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        return [g for g in groups if len(g) > 1]
 
-def roots_of(sets: Sets, similarity: float, hosts: int = 0) -> np.ndarray:
-    """Each member's component root (a member). The first `hosts` members are known to be of one component, whose root is 0."""
+
+def roots_of(sets: Sets, similarity: float) -> np.ndarray:
+    """Each member's component root (a member)."""
     n, percent = len(sets.size), round(similarity * 100)
-    root = np.full(n, -1)
-    root[:hosts] = 0
-
-    def absorb(p: int, core: np.ndarray, unsure: np.ndarray, far: np.ndarray) -> None:
-        """Join to p's component what links with its core, and, followed in full, what links with that."""
-        for u in unsure:
-            if root[u] < 0 and sets.near(u, core, percent)[0].any():
-                root[u], queue = p, [u]
-                while queue:
-                    v, rest = queue.pop(), far[root[far] < 0]
-                    more = rest[sets.near(v, rest, percent)[0]]
-                    root[more] = p
-                    queue += list(more)
+    root = np.arange(n)
+    done = np.zeros(n, bool)
 
-    if hosts:
-        guests = np.arange(hosts, n)
-        absorb(0, np.arange(hosts), guests, guests)
-    left = np.flatnonzero(root < 0)
-    while len(left):
-        p, left = left[0], left[1:]
-        root[p] = p
+    def component(p: int, left: np.ndarray) -> np.ndarray:
+        """Root what is p's component to p; the members of left that are not."""
+        done[p] = True
         linked, d = sets.near(p, left, percent)
         core, far = np.concatenate(([p], left[linked])), left[~linked]
-        root[core] = p
-        if linked.any():
-            absorb(p, core, far[d[~linked] <= 1 - similarity + d[linked].max() + 1e-9], far)
-        left = far[root[far] < 0]
+        root[core], done[core] = p, True
+        if not linked.any():
+            return far
+        for u in far[d[~linked] <= 1 - similarity + d[linked].max() + 1e-9]:
+            if not done[u] and sets.near(u, core, percent)[0].any():
+                root[u], done[u], queue = p, True, [u]
+                while queue:  # followed in full, as it may link beyond the pivot's reach
+                    v, rest = queue.pop(), far[~done[far]]
+                    more = rest[sets.near(v, rest, percent)[0]]
+                    root[more], done[more] = p, True
+                    queue += list(more)
+        return far[~done[far]]
+
+    for left in sets.apart(percent) if n > FEW else [root.copy()]:
+        while len(left) > 1:
+            left = component(left[0], left[1:])
     return root
 
 
-def _solver(n: int, similarity: float, fold: bool, pivot: bool):
-    """Rows (key, block, id, lead, text), a group's together and its lead first, to rows (key, id, root, d).
+#: What a solver's rows hold besides their member's text.
+MEMBER = "key bigint, block bigint, side int, id bigint, tree int, n bigint, w bigint, alt int"
+
+
+def _solver(n: int, similarity: float, fold: bool, kind: str):
+    """Rows of MEMBER and text, a group's (key, block) together by side, to rows of MEMBER and root, d.
 
-    With pivot every member is compared with the lead alone, at distance d, and has a
-    row. Else leads are hosts, known to be of one component, and the group's
-    components are found; members that are neither hosts nor their component's root
-    have a row, with d 0 where they are of the hosts' component and else 1.
+    kind "pivot": side 0 is the one pivot; each of side 1 has a row with root, the
+    pivot or itself, and its distance. "hosts": each of side 1 that links with one of
+    side 0 has a row with that one as root. "all": members that are not their
+    component's root have a row.
     """
     seps, percent = separators(), round(similarity * 100)
-    names = ["key", "id", "root", "d"]
+    schema = pa.schema([(c.split()[0], {"bigint": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in MEMBER.split(", ")] + [("root", pa.int64()), ("d", pa.float64())])
 
-    def solved(key: int, ids: list[int], parts: list[np.ndarray], hosts: int) -> Iterator[tuple]:
-        if len(parts) < 2 and not pivot:
+    def solved(rows: list[tuple], parts: list[np.ndarray]) -> Iterator[tuple]:
+        split = sum(r[2] == 0 for r in rows)
+        if len(rows) < 2 or kind != "all" and not 0 < split < len(rows):
             return
         sets = Sets(parts)
-        if pivot:
-            linked, d = sets.near(0, np.arange(len(parts)), percent)
-            root = np.where(linked, 0, np.arange(len(parts)))
+        if kind == "pivot":
+            linked, d = sets.near(0, np.arange(split, len(rows)), percent)
+            for r, near, far in zip(rows[split:], linked, d):
+                yield *r, rows[0][3] if near else r[3], float(far)
+        elif kind == "hosts":
+            for g in sets.apart(percent):
+                hosts = g[g < split]
+                for i in g[g >= split] if len(hosts) else ():
+                    linked, d = sets.near(i, hosts, percent)
+                    if linked.any():
+                        k = int(np.flatnonzero(linked)[0])
+                        yield *rows[i], rows[hosts[k]][3], float(d[k])
         else:
-            root = roots_of(sets, similarity, hosts)
-            d = root >= hosts
-        for i in range(0 if pivot else hosts, len(parts)):
-            if pivot or root[i] != i:
-                yield key, ids[i], ids[root[i]], float(d[i])
+            for i, p in enumerate(roots_of(sets, similarity)):
+                if p != i:
+                    yield *rows[i], rows[p][3], 0.0
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), schema.types)], schema=schema)
 
     def run(batches):
-        now, ids, parts, hosts, rows = None, [], [], 0, []
+        now, rows, parts, out = None, [], [], []
         for b in batches:
-            keys, blocks, own, leads = (b.column(i).to_pylist() for i in range(4))
-            for t in texts(b.column(4), seps, fold):
+            own = list(zip(*(b.column(i).to_pylist() for i in range(len(schema) - 2))))
+            for t in texts(b.column(len(schema) - 2), seps, fold):
                 x, bounds = shingles(t, t.hashes(), n)
                 for i in range(len(t.counts)):
-                    r = t.first + i
-                    if (keys[r], blocks[r]) != now:
-                        if now is not None:
-                            rows += solved(now[0], ids, parts, hosts)
-                        now, ids, parts, hosts = (keys[r], blocks[r]), [], [], 0
-                        if len(rows) >= 20_000:
-                            yield batch(rows)
-                            rows = []
+                    r = own[t.first + i]
+                    if r[:2] != now:
+                        out += solved(rows, parts)
+                        now, rows, parts = r[:2], [], []
+                        if len(out) >= 20_000:
+                            yield batch(out)
+                            out = []
                     if bounds[i + 1] > bounds[i]:
-                        ids.append(own[r])
-                        hosts += leads[r]
+                        rows.append(r)
                         parts.append(x[bounds[i] : bounds[i + 1]].copy())
-        if now is not None:
-            rows += solved(now[0], ids, parts, hosts)
-        if rows:
-            yield batch(rows)
+        out += solved(rows, parts)
+        if out:
+            yield batch(out)
 
     return run
 
@@ -219,50 +260,41 @@ def _solver(n: int, similarity: float, fold: bool, pivot: bool):
 class Join:
     """The similarity join of the classes reps (n, sa, sb, rep, mh), whose texts are in docs (doc_id, text)."""
 
-    def __init__(self, reps: DataFrame, docs: DataFrame, shingle: int, similarity: float, recall: float, fold: bool, leaf: int, bound: int):
-        self.reps, self.docs, self.shingle, self.similarity, self.fold, self.leaf, self.bound = reps, docs, shingle, similarity, fold, leaf, bound
+    def __init__(self, reps: DataFrame, docs: DataFrame, s: Scratch, shingle: int, similarity: float, recall: float, fold: bool, leaf: int, bound: int):
+        self.reps, self.docs, self.s, self.shingle, self.similarity, self.fold, self.leaf, self.bound = reps, docs, s, shingle, similarity, fold, leaf, bound
         self.trees = trees_for(recall, similarity)
         self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.found: list[DataFrame] = []
-        self.names: list[str] = []
-
-    def bucketed(self, rows: DataFrame, key: str) -> DataFrame:
-        """rows, already dealt by key, as a table that joins on key read without a shuffle."""
-        name = f"near_{uuid.uuid4().hex}"
-        rows.write.option("path", scratch(self.docs.sparkSession, "near")).bucketBy(self.parts, key).sortBy(key).saveAsTable(name)
-        self.names.append(name)
-        return self.docs.sparkSession.table(name)
-
-    def compare(self, members: DataFrame, pivot: bool = False) -> DataFrame:
-        """Solve the groups (key, block) of members (key, block, rep, lead)."""
-        full = members.join(self.texts, F.col("rep") == F.col("doc_id")).select("key", "block", F.col("rep").cast("bigint").alias("id"), "lead", "text")
-        dealt = full.repartition(self.parts, "key", "block").sortWithinPartitions("key", "block", F.col("lead").desc(), "id")
-        return written(dealt.mapInArrow(_solver(self.shingle, self.similarity, self.fold, pivot), "key bigint, id bigint, root bigint, d double"), "compared")
 
-    def keep(self, compared: DataFrame) -> None:
-        self.found.append(compared.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    def compare(self, members: DataFrame, kind: str, name: str) -> DataFrame:
+        """Solve the groups of members (MEMBER); the links go to found."""
+        full = members.join(self.texts, F.col("id") == F.col("doc_id")).select(*(c.split()[0] for c in MEMBER.split(", ")), "text")
+        dealt = full.repartition(self.parts, "key", "block").sortWithinPartitions("key", "block", "side", "id")
+        out = self.s.written(dealt.mapInArrow(_solver(self.shingle, self.similarity, self.fold, kind), MEMBER + ", root bigint, d double"), name)
+        self.found.append(out.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+        return out
 
     def links(self) -> DataFrame:
         """(a, b): a spanning set of the links between classes."""
-        self.held = self.bucketed(self.reps.repartition(self.parts, "rep"), "rep")
         tree = F.sequence(F.lit(0), F.lit(self.trees - 1))
-        roots = F.transform(tree, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.get("mh", t * POOL)).alias("key")))
-        rows = written(self.reps.select("rep", "n", F.xxhash64("rep", "sa", "sb").alias("w"), F.explode(roots).alias("r")).select("r.tree", "r.key", "rep", "n", "w"), "nodes")
+        token = lambda t: F.get("mh", t % self.trees)
+        roots = F.transform(tree, lambda t: F.struct(t.alias("tree"), F.xxhash64(t, token(t)).alias("key"), token(t + 1).alias("alt")))
+        rows = self.s.written(self.reps.select(F.col("rep").cast("bigint").alias("id"), "n", F.xxhash64("rep", "sa", "sb").alias("w"), F.explode(roots).alias("r")).select("r.key", "id", "r.tree", "n", "w", "r.alt"), "nodes")
         small = []
         for level in range(1, DEPTH + 2):
-            counts = written(rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor("w").alias("who"), F.sum("n").alias("sum")).where("members > 1"), "counts")
+            counts = self.s.written(rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor("w").alias("who"), F.sum("n").alias("sum")).where("members > 1"), "counts")
             if level == 1:
-                self._fetch(rows.join(counts, "key", "left_semi").select("rep").distinct())
+                self._fetch(rows.join(counts, "key", "left_semi").select("id").distinct())
             large = (F.col("members") > self.leaf) | (F.col("sum") > self.bound)
             small.append((rows, counts.where(~large)))
-            big = counts.where(large).select("key", F.ceil(F.col("sum") / self.bound).cast("int").alias("blocks"))
+            big = counts.where(large).select("key", F.ceil(F.col("sum") / self.bound).alias("blocks"))
             if big.isEmpty():
                 break
-            rest = self.settle(rows.join(big, "key"), level)
+            rest = self.settle(rows.join(big, "key"))
             if level > DEPTH:
                 self.by_blocks(rest)
                 break
-            rows = written(self.branch(rest, level), "nodes")
+            rows = self.s.written(self.branch(rest, level), "nodes")
         self.nodes(small)
         out = self.found[0]
         for more in self.found[1:]:
@@ -271,91 +303,76 @@ class Join:
 
     def _fetch(self, candidates: DataFrame) -> None:
         """Candidates' texts, shuffled once and kept by id, so that no comparison shuffles them by id again."""
-        self.texts = self.bucketed(self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "doc_id")
-
-    def with_mh(self, rows: DataFrame) -> DataFrame:
-        """rows with their classes' minwise values; only rep is a join key, so that the values are not shuffled."""
-        mh = self.held.select(F.col("rep").alias("__rep"), "mh", F.xxhash64("rep", "sa", "sb").alias("__w"))
-        return rows.join(mh, (F.col("rep") == F.col("__rep")) & (F.col("w").bitwiseXOR(F.col("__w")) == 0)).drop("__rep", "__w")
-
-    def pivots(self, big: DataFrame, level: int) -> DataFrame:
-        """(key, lead_id, blocks): a member of each node's largest group by a minwise token that its path doesn't use."""
-        other = F.get("mh", (F.col("tree") + 1) % self.trees * POOL + level - 1)
-        groups = self.with_mh(big).groupBy("key", "blocks", other.alias("token")).agg(F.count("*").alias("size"), F.min_by("rep", F.xxhash64("key", "rep")).alias("lead_id"))
-        return groups.groupBy("key", "blocks").agg(F.max_by("lead_id", F.struct("size", "token")).alias("lead_id"))
-
-    def settle(self, big: DataFrame, level: int) -> DataFrame:
-        """Compare large nodes' members with a pivot each; returns the rows that are not of its component.
-
-        What links with the pivot is settled. Members that may link with settled ones,
-        by the triangle inequality, are guests: all of a node's guests go to each of its
-        blocks, to be compared with the block's settled members and with each other.
-        Those that join are settled too, and the next round looks for their guests.
+        wanted = self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        self.texts = self.s.bucketed(wanted.dropDuplicates(["doc_id", "text"]), "near_texts", self.parts, "doc_id")
+
+    def settle(self, big: DataFrame) -> DataFrame:
+        """Compare large nodes' members with a pivot each, and those that may link with what it links with; returns the others' rows.
+
+        The pivot is a member of the node's largest group by a minwise token that its path doesn't use.
         """
-        big = written(big.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "big")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        leads = self.pivots(big, level).select("key", every.alias("block"), F.col("lead_id").alias("rep"), F.lit(True).alias("lead"))
-        compared = self.compare(leads.unionByName(big.select("key", "block", "rep", F.lit(False).alias("lead"))), pivot=True)
-        self.keep(compared)
-        said = compared.groupBy("key", F.col("id").alias("rep")).agg(F.min("d").alias("d"), F.max(F.col("id") != F.col("root")).alias("linked"))
-        state = written(big.join(said, ["key", "rep"]).withColumn("settled", F.col("linked") | (F.col("d") == 0)), "state")
-        hosts, rest, limit = state.where("settled"), state.where("not settled"), 1 - self.similarity
-        while True:
-            limit += 1 - self.similarity  # hosts are within the limit before, and link no farther than one step more
-            near = rest.where(F.col("d") <= limit + 1e-9)
-            unsure = written(near.join(hosts.select("key").distinct(), "key", "left_semi"), "unsure")
-            if unsure.isEmpty():
-                return rest
-            guests = unsure.select("key", every.alias("block"), "rep", F.lit(False).alias("lead"))
-            asked = hosts.join(unsure.select("key").distinct(), "key", "left_semi").select("key", "block", "rep", F.lit(True).alias("lead"))
-            compared = self.compare(asked.unionByName(guests))
-            self.keep(compared)
-            joined = compared.where("d = 0").select("key", F.col("id").alias("rep")).distinct()
-            hosts = written(unsure.join(joined, ["key", "rep"], "left_semi"), "hosts")
-            if hosts.isEmpty():
-                return rest
-            rest = written(rest.join(joined, ["key", "rep"], "left_anti"), "rest")
+        groups = big.groupBy("key", "blocks", "alt").agg(F.count("*").alias("size"), F.min_by("id", F.xxhash64("key", "id")).alias("lead"))
+        leads = groups.groupBy("key", "blocks").agg(F.max_by("lead", F.struct("size", "alt")).alias("id"))
+        none = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in MEMBER.split(", ")[4:])]
+        pivots = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "id", *none)
+        members = big.select("key", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt")
+        state = self.compare(pivots.unionByName(members), "pivot", "pivots")
+        host = (F.col("id") != F.col("root")) | (F.col("d") == 0)
+        hosts, rest = state.where(host), state.where(~host)
+        sums = lambda rows, name: rows.groupBy("key").agg(F.ceil(2 * F.sum("n") / self.bound).alias(name))
+        several = sums(hosts.where("id <> root"), "hb")
+        guests = rest.where(F.col("d") <= 2 * (1 - self.similarity) + 1e-9)
+        both = self.s.written(several.join(sums(guests, "gb"), "key"), "met")
+        if not both.isEmpty():
+            own = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n))
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            placed = lambda rows, side, a, b: rows.drop("block", "side").join(both, "key").withColumn("hx", a).withColumn("gx", b).select("key", (F.col("hx") * F.col("gb") + F.col("gx")).alias("block"), F.lit(side).alias("side"), "id", "tree", "n", "w", "alt")
+            self.compare(placed(hosts, 0, own("hb"), every("gb")).unionByName(placed(guests, 1, every("hb"), own("gb"))), "hosts", "guests")
+        return rest.select("key", "id", "tree", "n", "w", "alt")
 
     def branch(self, rest: DataFrame, level: int) -> DataFrame:
-        """Children of the nodes of rest by two more minwise tokens each."""
-        at = [BRANCH * (level - 1) + 1 + i for i in range(BRANCH)]
-        keys = F.array(*(F.xxhash64("key", F.lit(i), F.get("mh", F.col("tree") * POOL + i)) for i in at))
-        return self.with_mh(rest).select("tree", F.explode(keys).alias("key"), "rep", "n", "w")
+        """Children of the nodes of rest by two more minwise tokens each, which are computed from the members' texts."""
+        own = rest.groupBy("id", "n", "w").agg(F.collect_list(F.struct("tree", "key")).alias("nodes"))  # at most trees * BRANCH ** level
+        full = own.join(self.texts, F.col("id") == F.col("doc_id")).select("id", F.col("n").alias("own_n"), "w", "nodes", "text")
+        like = (self.shingle, self.trees, level, self.fold)
+        made = map_texts(full, lambda: _sketcher(*like), SKETCH, carry=["id", "own_n", "w", "nodes"]).where("n = own_n")
+        at = lambda x, i: F.get("mh", x["tree"] * BRANCH + i)
+        child = lambda x, i: F.struct(x["tree"].alias("tree"), F.xxhash64(x["key"], F.lit(i), at(x, i)).alias("key"), at(x, BRANCH - 1 - i).alias("alt"))
+        children = F.flatten(F.transform("nodes", lambda x: F.array(*(child(x, i) for i in range(BRANCH)))))
+        return made.select("id", "n", "w", F.explode(children).alias("r")).select("r.key", "id", "r.tree", "n", "w", "r.alt")
 
     def by_blocks(self, rest: DataFrame) -> None:
         """Compare what large nodes of the last level still hold, every two blocks of a node."""
-        size = rest.groupBy("key").agg(F.ceil(2 * F.sum("n") / self.bound).cast("int").alias("halves"))
-        rest = rest.select("key", "rep").join(size, "key").withColumn("own", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("halves")).cast("int"))
+        size = rest.groupBy("key").agg(F.ceil(2 * F.sum("n") / self.bound).alias("halves"))
+        rest = rest.join(size, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("halves")))
         other = F.explode(F.sequence(F.lit(0), F.col("halves") - 1))
         pairs = rest.withColumn("other", other).where((F.col("halves") == 1) | (F.col("own") != F.col("other")))
-        self.keep(self.compare(pairs.select("key", (F.least("own", "other") * F.col("halves") + F.greatest("own", "other")).alias("block"), "rep", F.lit(False).alias("lead"))))
+        self.compare(pairs.select("key", (F.least("own", "other") * F.col("halves") + F.greatest("own", "other")).alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt"), "all", "blocks")
 
     def nodes(self, small: list[tuple[DataFrame, DataFrame]]) -> None:
         """Compare the small nodes, one for each set of members."""
         sums = None
         for _, done in small:
             sums = done if sums is None else sums.unionByName(done)
-        chosen = written(sums.groupBy("who", "members").agg(F.min("key").alias("key")).select("key"), "chosen")
+        chosen = self.s.written(sums.groupBy("who", "members").agg(F.min("key").alias("key")).select("key"), "chosen")
         members = None
         for rows, _ in small:
-            own = rows.join(chosen, "key").select("key", F.lit(0).alias("block"), "rep", F.lit(False).alias("lead"))
+            own = rows.join(chosen, "key").select("key", F.lit(0).cast("bigint").alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt")
             members = own if members is None else members.unionByName(own)
-        self.keep(self.compare(members))
-
-    def close(self) -> None:
-        for name in self.names:
-            self.docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        self.compare(members, "all", "compared")
 
 
-def own_links(sketch: DataFrame, reps: DataFrame) -> DataFrame:
+def own_links(sketch: DataFrame, reps: DataFrame, s: Scratch) -> DataFrame:
     """(a, b): links between the representatives of all classes that one doc_id's rows belong to.
 
     Only doc_ids of several rows are shuffled with their classes.
     """
     valid = sketch.where("n > 0 and doc_id is not null").select("doc_id", "n", "sa", "sb")
-    several = valid.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    several = s.written(valid.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
+    if several.isEmpty():
+        return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     classes = valid.join(several, "doc_id", "left_semi").distinct().join(reps.select("n", "sa", "sb", "rep"), ["n", "sa", "sb"])
-    held = written(classes.select("doc_id", "rep"), "owned")
+    held = s.written(classes.select("doc_id", "rep"), "owned")
     first = held.groupBy("doc_id").agg(F.min("rep").alias("a"))
     return held.join(first, "doc_id").where("a <> rep").select("a", F.col("rep").alias("b"))
 
@@ -363,13 +380,12 @@ def own_links(sketch: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, similarity: float = SIMILARITY, recall: float = RECALL, fold: bool = True, leaf: int = LEAF, bound: int = BOUND) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs; kept marks each group's smallest doc_id."""
     trees = trees_for(recall, similarity)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    fields = {"n": "bigint", "sa": "bigint", "sb": "bigint", "mh": "array<int>"}
-    sketch = written(map_texts(base, lambda: _sketcher(shingle, trees * POOL, fold), fields, carry=["doc_id"]), "sketch")
-    reps = written(sketch.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.min_by("mh", "doc_id").alias("mh")), "reps")
-    join = Join(reps, base, shingle, similarity, recall, fold, leaf, bound)
-    label = components(join.links().unionByName(own_links(sketch, reps)))
-    join.close()
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    with Scratch(docs.sparkSession) as s:
+        sketch = s.written(map_texts(base, lambda: _sketcher(shingle, trees, 0, fold), SKETCH, carry=["doc_id"]), "sketch", keep=True)
+        reps = s.written(sketch.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.min_by("mh", "doc_id").alias("mh")), "reps", keep=True)
+        join = Join(reps, base, s, shingle, similarity, recall, fold, leaf, bound)
+        label = s.written(components(join.links().unionByName(own_links(sketch, reps, s)), s), "label", keep=True)
     group = reps.select("n", "sa", "sb", "rep").join(label, F.col("rep") == F.col("v"), "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component_id"))
     out = sketch.select("doc_id", "n", "sa", "sb").join(group, ["n", "sa", "sb"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from oreshaft.llm._shared import Scratch
 from oreshaft.llm import components, decontaminate, fingerprint, langid, linededup, mixing, neardup, secrets, substring, urlfilter, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,7 +273,7 @@ def test_near_duplicate_chains_and_large_groups(spark):
 
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (50, 3)]
-    got = components.components(spark.createDataFrame(pairs, "a long, b long"))
+    got = components.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark))
     assert rows_of(got, "v", "label") == sorted([(i, 0) for i in range(41)] + [(50, 0), (100, 100), (101, 100), (103, 100)], key=repr)
 
 
