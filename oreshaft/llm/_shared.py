@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +79,32 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def bucketed(self, df: DataFrame, name: str, buckets: int, key: str, *then: str) -> DataFrame:
-        """df as a table in buckets of key, sorted by it: a join on key reads it without a shuffle. One file a bucket."""
+    def bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str, deal: bool = True) -> DataFrame:
+        """df as a table in buckets of keys, each one file sorted by them: joins on the keys read it without a shuffle.
+
+        Without deal df is known to be dealt by keys into as many partitions.
+        """
         full = f"{name}_{uuid.uuid4().hex}"
-        df.repartition(buckets, key).sortWithinPartitions(key, *then).write.option("path", self.path(name)).bucketBy(buckets, key).sortBy(key, *then).saveAsTable(full)
+        rows = df.repartition(buckets, *keys) if deal else df
+        rows.write.option("path", self.path(name)).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(full)
         self.names.append(full)
         return self.spark.table(full)
 
 
+@contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings (dots written as __) while a plan is made and run."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Rows written once to the shared folder and read back; they stay until release()."""
     return Scratch(df.sparkSession).written(df, name, keep=True)

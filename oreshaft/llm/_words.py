@@ -104,14 +104,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def texts(column: pa.Array, seps: np.ndarray, fold: bool) -> Iterator[Texts]:
-    """Runs of whole texts of about CHUNK_BYTES bytes, or one longer text at a time."""
+def texts(column: pa.Array, seps: np.ndarray, fold: bool, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Texts]:
+    """Runs of whole texts of about chunk_bytes bytes, or one longer text at a time."""
     if not len(column):
         return
     data, offsets = buffers(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK_BYTES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk_bytes, "right")) - 1)
         hi = min(hi, n)
         d, o = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if fold:

@@ -111,7 +111,8 @@ class Sets:
 
     def __init__(self, parts: list[np.ndarray]):
         self.size = np.array([len(p) for p in parts])
-        values, self.codes = np.unique(np.concatenate(parts), return_inverse=True)
+        values, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        self.codes = codes.astype(np.int32)
         self.bounds = np.concatenate(([0], np.cumsum(self.size)))
         self.flag = np.zeros(len(values), bool)
 
@@ -143,11 +144,14 @@ class Sets:
         it, and so has one of its rarest tokens, that many and one more, in common with
         the other's: groups are what such tokens connect.
         """
-        member = np.repeat(np.arange(len(self.size)), self.size)
-        order = np.lexsort((self.codes, np.bincount(self.codes)[self.codes], member))
-        rank = np.arange(len(order)) - np.repeat(self.bounds[:-1], self.size)
-        first = rank <= (self.size - -(-percent * self.size // 100))[member]
-        code, owner = self.codes[order][first], member[first]
+        rare = np.empty(len(self.flag), np.int64)
+        rare[np.argsort(np.bincount(self.codes, minlength=len(rare)), kind="stable")] = np.arange(len(rare))
+        base = np.arange(len(self.size)) * len(rare)
+        token = rare[self.codes] + np.repeat(base, self.size)
+        token.sort()  # each member's, the rarest first
+        length = self.size - -(-percent * self.size // 100) + 1
+        owner = np.repeat(np.arange(len(length)), length)
+        code = token[np.repeat(self.bounds[:-1] - (np.cumsum(length) - length), length) + np.arange(len(owner))] - base[owner]
         label = np.arange(len(self.size))
         while True:
             least = np.full(len(self.flag), len(label))
@@ -354,7 +358,9 @@ class Join:
         sums = None
         for _, done in small:
             sums = done if sums is None else sums.unionByName(done)
-        chosen = self.s.written(sums.groupBy("who", "members").agg(F.min("key").alias("key")).select("key"), "chosen")
+        chosen = sums.groupBy("who", "members").agg(F.min("key").alias("key")).select("key")
+        if len(small) > 1:
+            chosen = self.s.written(chosen, "chosen")
         members = None
         for rows, _ in small:
             own = rows.join(chosen, "key").select("key", F.lit(0).cast("bigint").alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt")
@@ -368,7 +374,7 @@ def own_links(sketch: DataFrame, reps: DataFrame, s: Scratch) -> DataFrame:
     Only doc_ids of several rows are shuffled with their classes.
     """
     valid = sketch.where("n > 0 and doc_id is not null").select("doc_id", "n", "sa", "sb")
-    several = s.written(valid.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "several")
+    several = valid.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     if several.isEmpty():
         return several.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     classes = valid.join(several, "doc_id", "left_semi").distinct().join(reps.select("n", "sa", "sb", "rep"), ["n", "sa", "sb"])

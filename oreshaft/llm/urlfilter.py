@@ -4,7 +4,7 @@ The model's features are character n-grams (3 to 5) of the host and the path,
 each marked with its part and hashed into `buckets`; a URL's distinct n-grams
 weigh alike and sum to one. It is trained on a small labelled table (at most
 `max_rows` rows, the first by hash): features come from the same expressions
-that score, and full-batch gradient descent runs on the driver. Scoring is one
+that score, and full-batch gradient descent with weight decay runs on the driver. Scoring is one
 projection: the weights are a constant array inside the expression, of a size
 fixed by `buckets`. Nothing is shuffled.
 
@@ -18,10 +18,12 @@ so the verdict of the bias alone. Labelled rows with a null label are left out.
 
 from __future__ import annotations
 
+import csv
 import json
 import math
-from itertools import product
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,8 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 GRAMS = (3, 4, 5)
 BUCKETS = 8192
 
-#: Words of hosts that are mostly unwanted, and of hosts that are mostly wanted.
-UNWANTED = "ads adult bet bets betting bonus casino cheap click coupon crack dating escort farm fake free gambling jackpot lottery loan malware nude payday phish pills poker porn prize promo slots spam track tracker viagra warez win xxx".split()
-WANTED = "anthill archive atlas bakery bridge choir college ether garden harbor history hospital island journal kitchen library lantern meadow mother museum nation news nothing orchard oratory physics river school season station teacher theater thought tradition thunder union weather winter wiki".split()
-#: Frequent pairs of English letters, of which names that mean nothing are composed.
-PAIRS = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de ly sh".split()
+#: A small table of urls labelled by hand: sites as they are known, and made-up ones of unwanted kinds.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -73,39 +72,32 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS) -> Column:
 
 
 def example_table(spark: SparkSession) -> DataFrame:
-    """A small labelled table (url, blocked), composed by rule from the fixed words: kinds of host by kinds of path."""
-    tld, rows = ("com", "net", "org"), []
-    pairs = [(UNWANTED[i], UNWANTED[(i * 5 + 3) % len(UNWANTED)]) for i in range(len(UNWANTED))]
-    good = [(w, None) for w in WANTED] + [(WANTED[i] + WANTED[(i * 7 + 2) % len(WANTED)], None) for i in range(len(WANTED))]
-    for k, ((a, b), sub) in enumerate(product(pairs, ("www.", "m.", "blog.", ""))):
-        rows.append((f"https://{sub}{a}-{b}.example.{tld[k % 3]}/{('en', 'de', 'fr', 'es')[k % 4]}/{(k * 37) % 500}{('', '.html', '/', '?page=2')[k // 4 % 4]}", 1))
-    good += [(PAIRS[i % 30] + PAIRS[(i * i + 7) % 30] + PAIRS[(i * 11 + 5) % 30] * (i % 2), None) for i in range(90)] + [(PAIRS[0] + PAIRS[i], None) for i in range(30)]
-    for k, ((a, _), sub) in enumerate(product(good, ("www.", "m.", "blog.", ""))):
-        rows.append((f"https://{sub}{a}.example.{tld[k % 3]}/{('en', 'de', 'fr', 'es')[k % 4]}/{(k * 41) % 500}{('', '.html', '/', '?page=2')[k // 4 % 4]}", 0))
-    data = F.from_json(F.lit(json.dumps([{"url": u, "blocked": b} for u, b in rows])), "array<struct<url:string,blocked:int>>")
-    return spark.range(1).select(F.inline(data))
-
-
-def fit(labelled: DataFrame, buckets: int = BUCKETS, max_rows: int = 10_000, rounds: int = 80, rate: float = 1500.0, decay: float = 1e-4) -> list[float]:
-    """Weights of the buckets, bias last; an empty table gives zeros with a bias against blocking."""
+    """The labelled table that comes with the package: url, blocked."""
+    with LABELLED.open(newline="") as f:
+        rows = [{"url": r["url"], "blocked": int(r["blocked"])} for r in csv.DictReader(f)]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<url:string,blocked:int>>")))
+
+
+def fit(labelled: DataFrame, buckets: int = BUCKETS, max_rows: int = 10_000, rounds: int = 800, rate: float = 2500.0, decay: float = 1e-4, prior: float = 0.8) -> list[float]:
+    """Weights of the buckets, bias last; an empty table gives zeros with a bias against blocking.
+
+    prior is the share of wanted urls that the model takes as given, whatever the
+    table's is; a url of unknown n-grams so is allowed.
+    """
     host, path = parts(F.col("url"))
     rows = labelled.where("blocked is not null").select(grams(host, path, buckets).alias("g"), (F.col("blocked") > 0).alias("y"), F.xxhash64("url").alias("k")).orderBy("k", "y").limit(max_rows).collect()
-    data = [(r["g"], 1.0 if r["y"] else 0.0) for r in rows]
-    w, bias = {}, 0.0 if data else -1.0
-    share = sum(y for _, y in data) / max(1, len(data))
-    weigh = {1.0: 0.5 / max(share, 1e-9), 0.0: 0.5 / max(1 - share, 1e-9)}  # both labels count alike
-    for _ in range(rounds if data else 0):
-        grad, gb = {}, 0.0
-        for g, y in data:
-            z = bias + sum(w.get(i, 0.0) for i in g) / max(1, len(g))
-            d = weigh[y] * (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y) / len(data)
-            gb += d
-            for i in g:
-                grad[i] = grad.get(i, 0.0) + d / len(g)
-        bias -= 0.5 * gb
-        for i, v in grad.items():
-            w[i] = w.get(i, 0.0) * (1 - decay) - rate * v
-    return [w.get(i, 0.0) for i in range(1, buckets + 1)] + [bias]
+    w, bias = np.zeros(buckets + 1), math.log((1 - prior) / prior)
+    if not rows:
+        return [*w[1:].tolist(), bias]
+    y, size = np.array([float(r["y"]) for r in rows]), np.array([len(r["g"]) for r in rows])
+    row, gram = np.repeat(np.arange(len(rows)), size), np.array([i for r in rows for i in r["g"]], np.int64)
+    share, part = y.mean(), 1 / np.maximum(size, 1)
+    weigh = np.where(y > 0, (1 - prior) / max(share, 1e-9), prior / max(1 - share, 1e-9)) / len(rows)
+    for _ in range(rounds):
+        z = bias + np.bincount(row, w[gram], len(rows)) * part
+        d = weigh * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        w = w * (1 - decay) - rate * np.bincount(gram, (d * part)[row], buckets + 1)
+    return [*w[1:].tolist(), bias]
 
 
 def score(host: Column, path: Column, weights: list[float]) -> Column:

@@ -1,10 +1,16 @@
 """WARC archives: a writer and a sequential, streaming reader.
 
-Every record is a gzip member of its own. The reader takes an archive in blocks
-of READ_BYTES, inflates member after member with one incremental zlib object
-each, frames each block by its Content-Length and verifies block and payload
-digests; it holds one record at a time. A fault (truncated member, length that
-doesn't fit, wrong digest) raises an error that names the archive and offset.
+Every record is a gzip member of its own, and a file is nothing but such members.
+The reader takes an archive in blocks of READ_BYTES, inflates member after member
+with one incremental zlib object each, at most STEP_BYTES at a time, frames each
+block by its Content-Length and verifies block and payload digests as bytes pass;
+without payloads it holds one step. A fault (truncated member, missing or wrong
+length, wrong digest, no record) raises an error that names the archive and offset.
+
+Archives of others are read too: record types other than response, revisit and
+resource are passed over, a record id that is not of a page here has a null page_id
+(record_id has it as it stands), a payload without a digest gets one, and a record
+without an HTTP header is its payload. Only SHA-1 digests are verified.
 
 Writing: each task writes its rows to archives of at most ROLL_BYTES in the
 shared folder, under names of its own attempt. The manifest of finished archives
@@ -16,7 +22,8 @@ Of records with equal payloads of at least `least` bytes the one with the larges
 id is the response and the others are revisits of it, without payload; their HTTP
 header still tells the payload's length. Nulls: a null payload is empty, a null
 url has no target header, a null id is written as "null" and counts as the
-smallest. Repeated rows of the id that is the response are responses all.
+smallest. Repeated rows of the id that is the response are responses all. An empty
+table gives no archive. Other columns of pages are not looked at.
 """
 
 from __future__ import annotations
@@ -36,10 +43,14 @@ from pyspark.sql import functions as F
 from ._shared import scratch, written
 
 READ_BYTES = 1 << 16
+STEP_BYTES = 1 << 18
+HEAD_BYTES = 1 << 20
 ROLL_BYTES = 64 << 20
 LEVEL = 4
 ID = "urn:oreshaft:page:"
+TYPES = ("response", "revisit", "resource")
 _DATE = b"2024-01-01T00:00:00Z"
+_END = b"\r\n\r\n"
 
 
 def _sha1(data: bytes) -> bytes:
@@ -59,48 +70,124 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         block += payload
     head += [b"WARC-Payload-Digest: " + digest, b"WARC-Block-Digest: " + _sha1(block), b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-    return z.compress(b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n") + z.flush()
+    return z.compress(b"\r\n".join(head) + _END + block + _END) + z.flush()
 
 
-def members(stream, name: str = "archive") -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of each gzip member, read block by block."""
-    offset, pending = 0, b""
-    while True:
-        z, out, used = zlib.decompressobj(31), [], 0
-        pending = pending or stream.read(READ_BYTES)
-        if not pending:
-            return
-        while not z.eof:
-            if not pending and not (pending := stream.read(READ_BYTES)):
-                raise ValueError(f"{name}: truncated member at {offset}")
+class Member:
+    """One gzip member of a stream, inflated piece by piece."""
+
+    def __init__(self, stream, pending: bytes, where: str):
+        self.stream, self.pending, self.where = stream, pending, where
+        self.z, self.used, self.held = zlib.decompressobj(31), 0, b""
+
+    def piece(self) -> bytes:
+        """Some more bytes, at most STEP_BYTES; none at the member's end."""
+        while not self.z.eof:
+            self.pending = self.pending or self.stream.read(READ_BYTES)
             try:
-                out.append(z.decompress(pending))
+                out = self.z.decompress(self.pending, STEP_BYTES)  # at the stream's end, what zlib may still hold
             except zlib.error as e:
-                raise ValueError(f"{name}: bad member at {offset}: {e}") from e
-            used += len(pending) - len(z.unused_data)
-            pending = z.unused_data
-        yield offset, b"".join(out)
-        offset += used
-
-
-def parsed(raw: bytes, where: str) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of one record, framed and verified."""
-    head, sep, rest = raw.partition(b"\r\n\r\n")
-    first, *fields = head.split(b"\r\n")
-    if not sep or not first.startswith(b"WARC/"):
-        raise ValueError(f"{where}: no WARC record")
-    named = lambda rows: {k.decode().strip().lower(): v.decode().strip() for k, _, v in (x.partition(b":") for x in rows)}
-    warc = named(fields)
-    size = int(warc["content-length"])
-    block = rest[:size]
-    if len(block) < size or rest[size:] != b"\r\n\r\n":
-        raise ValueError(f"{where}: content length {size} doesn't frame the record")
-    if "warc-block-digest" in warc and _sha1(block).decode() != warc["warc-block-digest"]:
-        raise ValueError(f"{where}: block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    if warc["warc-type"] == "response" and _sha1(payload).decode() != warc["warc-payload-digest"]:
-        raise ValueError(f"{where}: payload digest differs")
-    return warc, named(http.split(b"\r\n")[1:]), payload
+                raise ValueError(f"{self.where}: bad member: {e}") from e
+            if not self.pending and not out and not self.z.eof:
+                raise ValueError(f"{self.where}: truncated member")
+            rest = self.z.unused_data if self.z.eof else self.z.unconsumed_tail
+            self.used, self.pending = self.used + len(self.pending) - len(rest), rest
+            if out:
+                return out
+        return b""
+
+    def head(self) -> list[bytes]:
+        """The lines up to an empty one."""
+        while _END not in self.held:
+            more = self.piece()
+            if not more or len(self.held) > HEAD_BYTES:
+                raise ValueError(f"{self.where}: no WARC record")
+            self.held += more
+        head, _, self.held = self.held.partition(_END)
+        return head.split(b"\r\n")
+
+    def take(self, size: int) -> Iterator[bytes]:
+        """The next size bytes."""
+        while size:
+            got = self.held or self.piece()
+            if not got:
+                raise ValueError(f"{self.where}: content length doesn't frame the record, {size} bytes lack")
+            yield got[:size]
+            size, self.held = size - min(size, len(got)), got[size:]
+
+    def rest(self) -> bytes:
+        """What is left, as far as it can matter."""
+        out = self.held
+        while more := self.piece():
+            out = (out + more)[:64]
+        return out
+
+
+def members(stream, name: str = "archive") -> Iterator[tuple[int, Member]]:
+    """(offset, member) of each gzip member, read block by block; a member left early is passed over."""
+    offset, pending = 0, b""
+    while pending := pending or stream.read(READ_BYTES):
+        m = Member(stream, pending, f"{name} at {offset}")
+        yield offset, m
+        while m.piece():
+            pass
+        offset, pending = offset + m.used, m.pending
+
+
+def _named(lines: list[bytes]) -> dict[str, str]:
+    return {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}
+
+
+def sha1_of(digest: str | None) -> str | None:
+    """Lower-case hex of a SHA-1 digest header, in base 32 or hex; else null."""
+    kind, _, value = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else bytes.fromhex(value).hex()
+    except ValueError:
+        return None
+
+
+def parsed(m: Member, types: tuple[str, ...] = TYPES, payloads: bool = True) -> tuple[dict[str, str], dict[str, str], int, str, bytes] | None:
+    """(WARC headers, HTTP headers, payload bytes, payload SHA-1, payload) of a member's record, framed and verified; None for another type."""
+    first, *fields = m.head()
+    if not first.startswith(b"WARC/"):
+        raise ValueError(f"{m.where}: no WARC record")
+    warc = _named(fields)
+    if warc.get("warc-type") not in types:
+        return None
+    length = warc.get("content-length", "")
+    if not length.isdigit():
+        raise ValueError(f"{m.where}: content length {length!r}")
+    whole, own, size, kept, http = hashlib.sha1(), hashlib.sha1(), 0, [], {}
+    head: bytes | None = b"" if warc.get("content-type", "").lower().startswith("application/http") else None
+    for piece in m.take(int(length)):
+        whole.update(piece)
+        if head is not None:  # the HTTP header isn't over
+            head += piece
+            if _END not in head:
+                if len(head) > HEAD_BYTES:
+                    raise ValueError(f"{m.where}: HTTP header of over {HEAD_BYTES} bytes")
+                continue
+            lines, _, piece = head.partition(_END)
+            http, head = _named(lines.split(b"\r\n")[1:]), None
+        own.update(piece)
+        size += len(piece)
+        if payloads:
+            kept.append(piece)
+    if head is not None:
+        http = _named(head.split(b"\r\n")[1:])
+    if (rest := m.rest()) != _END:
+        raise ValueError(f"{m.where}: content length {length} doesn't frame the record, {rest[:8]!r} follows")
+    if (said := sha1_of(warc.get("warc-block-digest"))) and said != whole.hexdigest():
+        raise ValueError(f"{m.where}: block digest differs")
+    said = sha1_of(warc.get("warc-payload-digest"))
+    if warc["warc-type"] == "revisit":
+        return warc, http, int(http["content-length"]) if http.get("content-length", "").isdigit() else None, said, b"".join(kept)
+    if said and said != own.hexdigest():
+        raise ValueError(f"{m.where}: payload digest differs")
+    return warc, http, size, own.hexdigest(), b"".join(kept)
 
 
 def _write(folder: str):
@@ -113,7 +200,7 @@ def _write(folder: str):
                 if out is None:
                     path = f"{root}/{name}-{len(done):05d}.warc.gz"
                     target.create_dir(root, recursive=True)
-                    out, n, size = target.open_output_stream(path), 0, 0
+                    out, n, size = target.open_output_stream(path, compression=None), 0, 0  # else the name makes it one more gzip layer
                 data = record(page, url, (html or "").encode(), refers)
                 out.write(data)
                 n, size = n + 1, size + len(data)
@@ -144,27 +231,28 @@ def write_archives(pages: DataFrame, least: int = 1000) -> DataFrame:
     return written(rows.mapInArrow(_write(folder), "archive string, records bigint, bytes bigint"), "manifest")
 
 
-READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
+READ = "page_id bigint, record_id string, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string"
 
 
-def _read(payloads: bool):
-    def number(urn: str | None):
-        value = urn.strip("<>")[len(ID) :] if urn else "null"
-        return None if value == "null" else int(value)
+def _read(payloads: bool, types: tuple[str, ...]):
+    def number(urn: str | None) -> int | None:
+        value = (urn or "").strip("<>").removeprefix(ID)
+        return int(value) if (urn or "").startswith(f"<{ID}") and value.lstrip("-").isdigit() else None
 
     def run(batches):
         for b in batches:
             for archive in b.column(0).to_pylist():
-                source, path = fs.FileSystem.from_uri(archive)
+                source, path = fs.FileSystem.from_uri(_uri(archive))
                 rows, held = [], 0
-                with source.open_input_stream(path) as stream:
-                    for offset, raw in members(stream, archive):
-                        warc, http, payload = parsed(raw, f"{archive} at {offset}")
-                        digest = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
-                        row = (number(warc["warc-record-id"]), warc.get("warc-target-uri"), warc["warc-type"], number(warc.get("warc-refers-to")), int(http["content-length"]), digest)
+                with source.open_input_stream(path, compression=None) as stream:
+                    for _, member in members(stream, archive):
+                        if (found := parsed(member, types, payloads)) is None:
+                            continue
+                        warc, _, size, digest, payload = found
+                        row = (number(warc.get("warc-record-id")), warc.get("warc-record-id"), warc.get("warc-target-uri"), warc["warc-type"], number(warc.get("warc-refers-to")), size, digest)
                         rows.append((*row, payload) if payloads else row)
-                        held += len(raw)
-                        if len(rows) >= 4096 or payloads and held >= 8 << 20:
+                        held += len(payload)
+                        if len(rows) >= 4096 or held >= 8 << 20:
                             yield _batch(rows, payloads)
                             rows, held = [], 0
                 if rows:
@@ -174,11 +262,11 @@ def _read(payloads: bool):
 
 
 def _batch(rows: list, payloads: bool) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * payloads
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * payloads
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in (READ + ", payload binary" * payloads).split(", ")])
 
 
-def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, payloads: bool = True, types: tuple[str, ...] = TYPES) -> DataFrame:
     """The records of all archives of a manifest (or any table with a column archive), each archive read once from its start."""
     parts = max(1, min(manifest.count(), 16 * int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    return manifest.select("archive").repartition(parts).mapInArrow(_read(payloads), READ + ", payload binary" * payloads)
+    return manifest.select("archive").repartition(parts).mapInArrow(_read(payloads, types), READ + ", payload binary" * payloads)
