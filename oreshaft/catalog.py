@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.bytes import spaced
 from .operators import decode, mining, regions, signatures, stats
+from .operators.ranking import sources_text
 from .sources import blobs, candidates, html, sinks
 
 QUERIES: dict = {}
@@ -305,7 +306,7 @@ def edge_bytes(spark, sf_dir):
   SELECT doc_id, tag, 'first' AS edge, {_cut('s', 's + 2')} AS h FROM tagged UNION ALL SELECT doc_id, tag, 'last', {_cut('e - 2', 'e')} FROM tagged) GROUP BY ALL)
 SELECT edge, h AS pair, n, sources FROM c QUALIFY row_number() OVER (PARTITION BY edge ORDER BY n DESC, seen) <= 20""")
 def edge_pairs(spark, sf_dir):
-    return regions.edge_pairs(_regions(spark, sf_dir)).drop("tags")
+    return regions.edge_pairs(_regions(spark, sf_dir)).drop("tags", "more")
 
 
 ZBYTE = "zb AS (SELECT zone, unnest(regexp_extract_all(hexed, '..')) AS h FROM z)"
@@ -373,13 +374,16 @@ NGRAM = "c AS (SELECT zone, pattern, count(*) AS n, min((doc_id, k, o)) AS seen,
 
 
 def _ngram_sql(least: int, top: int) -> str:
-    return f"""WITH {ZONES}, {_grams(2, 8)}, {NGRAM} SELECT zone, pattern, n, sources, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY zone ORDER BY n DESC, seen) AS rank FROM c WHERE n >= {least}) WHERE rank <= {top}"""
+    return f"""WITH {ZONES}, {_grams(2, 8)}, {NGRAM}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY n DESC, seen) AS rank FROM c WHERE n >= {least}) WHERE rank <= {top}),
+listed AS (SELECT zone, pattern, string_agg(tag, ', ' ORDER BY tag) FILTER (WHERE r <= 6) || CASE WHEN max(r) > 6 THEN ' (+' || (max(r) - 6) || ' more)' ELSE '' END AS listed FROM (
+  SELECT zone, pattern, tag, row_number() OVER (PARTITION BY zone, pattern ORDER BY tag) AS r FROM (SELECT DISTINCT zone, pattern, tag FROM gram SEMI JOIN best USING (zone, pattern))) GROUP BY ALL)
+SELECT zone, pattern, n, sources, listed, rank FROM best JOIN listed USING (zone, pattern)"""
 
 
 def _ngram_top(spark, sf_dir, least: int, top: int):
-    counts = mining.counted(mining.ngrams(_zones(spark, sf_dir), extra=("tag",)), tags=True)
-    return mining.top_patterns(counts, top=top, least=least).select("zone", "pattern", "n", "sources", "rank")
+    grams = mining.ngrams(_zones(spark, sf_dir), extra=("tag",))
+    best = mining.with_sources(mining.top_patterns(mining.counted(grams), top=top, least=least), grams)
+    return best.select("zone", "pattern", "n", "sources", sources_text().alias("listed"), "rank")
 
 
 @query(_ngram_sql(3, 40))
@@ -422,7 +426,7 @@ def signature_hits_v3(spark, sf_dir):
 
 @query(f"WITH {ZONES}, {_signature_cte(2)} SELECT CAST(ordinal AS BIGINT) AS ordinal, name, zone, count(*) AS hits, count(DISTINCT tag) AS sources FROM hit GROUP BY ALL")
 def signature_report(spark, sf_dir):
-    return signatures.report(_scan(spark, sf_dir, 2)).drop("tags")
+    return signatures.report(_scan(spark, sf_dir, 2)).drop("tags", "more")
 
 
 @query(f"WITH {ZONES}, {_signature_cte(2)} SELECT split_part(name, ' ', 1) AS arch, count(*) AS hits FROM hit GROUP BY ALL")

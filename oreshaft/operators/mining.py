@@ -3,15 +3,22 @@
 Zones are rows (doc_id, zone, hexed, ...); patterns are hex text. Where a top list
 has ties the first seen comes first: by region, then length, then offset. That place
 is one long, so that its minimum is reduced in hash aggregates: doc_id must be below
-2**39, lengths and offsets below 256.
+2**47, lengths and offsets below 256; others are an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from . import windows
+from .ranking import ranked, tag_lists
 
 
 def _length() -> Column:
@@ -27,7 +34,12 @@ def _span(lo, hi: Column) -> Column:
 
 
 def _place(k: str = "k", at: str | None = None) -> Column:
-    return F.shiftleft(F.col("doc_id"), 16) + F.col(k) * 256 + (F.col(at) if at else F.lit(0))
+    off = F.col(at) if at else F.lit(0)
+    fits = F.col("doc_id").between(0, PLACES) & (F.col(k) < 256) & (off < 256)
+    return F.when(fits, F.shiftleft(F.col("doc_id"), 16) + F.col(k) * 256 + off).otherwise(F.raise_error(F.lit("a place needs doc_id from 0 to 2**47 - 1, and lengths and offsets below 256")))
+
+
+PLACES = (1 << 47) - 1
 
 
 def prefixes(zones: DataFrame, lo: int = 4, hi: int = 16) -> DataFrame:
@@ -47,10 +59,16 @@ def ngrams(zones: DataFrame, lo: int = 2, hi: int = 8, extra: tuple[str, ...] =
     return sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("k")))).select("zone", "doc_id", *extra, "k", "at", _piece(F.col("at"), F.col("k")).alias("pattern"))
 
 
-def counted(grams: DataFrame, by: tuple[str, ...] = ("zone",), tags: bool = False) -> DataFrame:
-    """(by, pattern, n, seen[, sources, tags]) of n-grams."""
-    more = [F.countDistinct("tag").alias("sources"), F.sort_array(F.collect_set("tag")).alias("tags")] if tags else []
-    return grams.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.min(_place(at="at")).alias("seen"), *more)
+def counted(grams: DataFrame, by: tuple[str, ...] = ("zone",)) -> DataFrame:
+    """(by, pattern, n, seen) of n-grams."""
+    return grams.groupBy(*by, "pattern").agg(F.count("*").alias("n"), F.min(_place(at="at")).alias("seen"))
+
+
+def with_sources(best: DataFrame, grams: DataFrame, by: tuple[str, ...] = ("zone",), shown: int = 6) -> DataFrame:
+    """best, the few rows of a top list, with the number of their sources, the first tags and how many more there are."""
+    key = [*by, "pattern"]
+    met = grams.join(F.broadcast(best.select(*key)), key)
+    return best.join(tag_lists(met, key, shown), key)
 
 
 def top_patterns(counts: DataFrame, by: tuple[str, ...] = ("zone",), top: int = 40, least: int = 1, longest_first: bool = False) -> DataFrame:
@@ -83,27 +101,117 @@ def _halves(hexed: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(padded, at, 16), 16, -10).cast("bigint") for at in (1, 17))
 
 
+def _long_grams(zones: DataFrame, k: int, by: tuple[str, ...]) -> DataFrame:
+    """(by, g0, g1, n, seen): the distinct k-byte runs of zones as longs, summed in each batch before they are shuffled."""
+    names = [*by, "g0", "g1", "n", "seen"]
+    source = zones.select(*by, "doc_id", "hexed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, first = _codes([b.column(i) for i in range(len(by))])
+            doc = b.column(len(by)).to_numpy(zero_copy_only=False).astype(np.int64)
+            for rows, cells, size in windows.rows_of(b.column(len(by) + 1)):
+                if cells.shape[1] < k:
+                    continue
+                if cells.shape[1] > 255 or doc.size and not 0 <= doc.min() <= doc.max() <= PLACES:
+                    raise ValueError("a place needs doc_id from 0 to 2**47 - 1, and zones of at most 255 bytes")
+                inside = np.arange(cells.shape[1] - k + 1) <= (size - k)[:, None]
+                row, at = np.nonzero(inside)
+                g0, g1 = (g[inside] for g in windows.longs(cells, k))
+                (c, g0, g1), n, seen = windows.grouped([code[rows][row], g0, g1], np.ones(len(row), np.int64), (doc[rows][row] << 16) + k * 256 + at)
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(first[c])) for i in range(len(by))), pa.array(g0.view(np.int64)), pa.array(g1.view(np.int64)), pa.array(n), pa.array(seen)], names=names)
+
+    schema = T.StructType([source.schema[c] for c in by])
+    for c in names[len(by) :]:
+        schema.add(c, "long")
+    return source.mapInArrow(run, schema).groupBy(*by, "g0", "g1").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+
+
+def _codes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row, the same for equal values in all columns, and a row of each number."""
+    rows = len(columns[0]) if columns else 0
+    code = np.zeros(rows, np.int64)
+    for c in columns:
+        found = c.dictionary_encode(null_encoding="encode")
+        code = code * max(1, len(found.dictionary)) + found.indices.to_numpy(zero_copy_only=False)
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    return code, first
+
+
+#: Grams that a task holds at a time.
+HELD = 1 << 20
+
+
 def motifs(zones: DataFrame, k: int = 8, wild: int = 3, contiguous: bool = False, least: int = 4, top: int = 40, by: tuple[str, ...] = ("zone",)) -> DataFrame:
     """(by, pattern, n, fixed, seen, rank): k-grams (k up to 16) under every mask, counted by occurrence.
 
     k-grams are counted before masks are applied, so that a frequent one is masked
-    once; bytes and masks are longs, and only the top rows become text again.
+    once. Bytes are cut into wild + 1 runs, of which every mask leaves one whole: a mask
+    belongs to the first such run, and grams are dealt once for each run by its bytes.
+    All grams that agree under a mask then lie in one task, which counts them there and
+    gives its best rows; a task of more than HELD grams gives partial counts, summed
+    after. Only the top rows become text again. Masks past 65,535 are an error.
     """
     if not 1 <= k <= 16:
         raise ValueError("k must be 1 to 16")
     every = masks(k, wild, contiguous)
-    bits = [int("".join("00" if i in m or i >= k else "ff" for i in range(16)), 16) for m in every]
-    high, low = (F.array(*(F.lit(_signed(b >> s & (1 << 64) - 1)).cast("bigint") for b in bits)) for s in (64, 0))
-    grams = counted(ngrams(zones, k, k, tuple(c for c in by if c != "zone")), by)
-    g0, g1 = _halves(F.col("pattern"))
-    each = grams.select(*by, "n", "seen", g0.alias("g0"), g1.alias("g1"), F.explode(F.sequence(F.lit(0), F.lit(len(every) - 1))).alias("m"))
-    hidden = each.select(*by, "n", "m", F.col("g0").bitwiseAND(F.get(high, F.col("m"))).alias("g0"), F.col("g1").bitwiseAND(F.get(low, F.col("m"))).alias("g1"), (F.col("seen") * 128 + F.least("m", F.lit(127))).alias("seen"))
-    counts = hidden.groupBy(*by, "m", "g0", "g1").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).where(F.col("n") >= least)
-    fixed = F.get(F.array(*(F.lit(k - len(m)) for m in every)), F.col("m"))
+    if len(every) > 1 << 16:
+        raise ValueError(f"{len(every)} masks; at most {1 << 16}")
+    runs = [range(i * k // (wild + 1), (i + 1) * k // (wild + 1)) for i in range(wild + 1)] if k > wild else [range(0)]
+    bits = [[0 if i in m or i >= k else 255 for i in range(16)] for m in every]
+    words = np.array([[int.from_bytes(bytes(b[:8]), "big"), int.from_bytes(bytes(b[8:]), "big")] for b in bits], np.uint64)
+    owner = [next(r for r, cells in enumerate(runs) if not set(cells) & set(m)) for m in every]
+    fixed_of = np.array([k - len(m) for m in every])
+    grams = _long_grams(zones, k, by)
+    part = lambda r: F.struct(F.lit(r).alias("run"), F.xxhash64(F.lit(r), *by, *(F.col(g).bitwiseAND(F.lit(_signed(int.from_bytes(bytes(255 if i in runs[r] else 0 for i in cells), "big")))) for g, cells in (("g0", range(8)), ("g1", range(8, 16))))).alias("key"))
+    parts = int(zones.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = grams.withColumn("p", F.explode(F.array(*(part(r) for r in range(len(runs)))))).select(*by, "g0", "g1", "n", "seen", "p.run", "p.key").repartition(parts, "run", "key").drop("key")
+    names = [*by, "m", "g0", "g1", "n", "seen"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved(held: list[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            code, first = _codes([t.column(c).combine_chunks() for c in by])
+            g0, g1, n, seen, of = (t.column(c).to_numpy() for c in ("g0", "g1", "n", "seen", "run"))
+            best: list = []
+            for m, (w0, w1) in enumerate(words):
+                mine = of == owner[m]
+                keys, total, least_seen = windows.grouped([code[mine], g0[mine].view(np.uint64) & w0, g1[mine].view(np.uint64) & w1], n[mine], seen[mine])
+                if whole:
+                    some = total >= least
+                    if some.sum() > top:  # in each group no more than the top rows of a mask can be among its top rows
+                        order = np.lexsort((least_seen, -total, keys[0]))
+                        place = np.arange(len(order)) - np.searchsorted(keys[0][order], keys[0][order])
+                        within = np.zeros(len(order), bool)
+                        within[order[place < top]] = True
+                        some &= within
+                    keys, total, least_seen = [x[some] for x in keys], total[some], least_seen[some]
+                best.append((keys[0], np.full(len(total), m), keys[1].view(np.int64), keys[2].view(np.int64), total, least_seen))
+            c, m, b0, b1, total, least_seen = (np.concatenate(x) for x in zip(*best))
+            if len(total):
+                yield pa.RecordBatch.from_arrays([*(t.column(x).combine_chunks().take(pa.array(first[c])) for x in by), *map(pa.array, (m, b0, b1, total, least_seen))], names=names)
+
+        held, size, whole = [], 0, True
+        for b in batches:
+            if held and size + b.num_rows > HELD:
+                whole = False
+                yield from solved(held, False)
+                held, size = [], 0
+            held.append(b)
+            size += b.num_rows
+        if held:
+            yield from solved(held, whole)
+
+    schema = T.StructType([dealt.schema[c] for c in by])
+    for c in names[len(by) :]:
+        schema.add(c, "long")
+    counts = dealt.mapInArrow(run, schema).groupBy(*by, "m", "g0", "g1").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).where(F.col("n") >= least)
+    m = F.col("m").cast("int")
+    fixed = F.get(F.array(*map(F.lit, fixed_of.tolist())), m)
     order = [F.col("n").desc(), F.col("fixed").desc(), F.col("seen"), F.col("m")]
     best = counts.withColumn("fixed", fixed).withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     full = F.lower(F.concat(*(F.lpad(F.hex(g), 16, "0") for g in ("g0", "g1"))))
-    holes = F.get(F.array(*(F.lit("".join("?" if i in m else "." for i in range(k))) for m in every)), F.col("m"))
+    holes = F.get(F.array(*(F.lit("".join("?" if i in x else "." for i in range(k))) for x in every)), m)
     cells = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.substring(holes, i + 1, F.lit(1)) == "?", "??").otherwise(F.substring(full, 2 * i + 1, F.lit(2))))
     return best.select(*by, F.array_join(cells, "").alias("pattern"), "n", "fixed", "seen", "rank")
 
@@ -139,7 +247,7 @@ def rank_by_motifs(zones: DataFrame, hits: DataFrame, start: str = "start_post",
     sums = hits.groupBy("doc_id").agg(side(start, "start_score"), side(end, "end_score"), best(start, "top_start_hit"), best(end, "top_end_hit"))
     out = zones.select("doc_id").distinct().join(sums, "doc_id", "left").fillna(0.0, ["start_score", "end_score"]).fillna("", ["top_start_hit", "top_end_hit"])
     out = out.withColumn("total_score", F.col("start_score") + F.col("end_score"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("total_score").desc(), "doc_id")))
+    return ranked(out, "total_score", "doc_id")
 
 
 def templates(zones: DataFrame, lengths=range(2, 7), least: int = 3, threshold: float = 3.0, fixed_below: float = 1.0, by: tuple[str, ...] = ("zone",)) -> DataFrame:
@@ -153,17 +261,20 @@ def templates(zones: DataFrame, lengths=range(2, 7), least: int = 3, threshold:
     byte), whatever the number of windows.
     """
     lo, hi = min(lengths), max(lengths)
-    wins = ngrams(zones, lo, hi, (*(c for c in by if c != "zone"), "tag"))
-    enough = wins.groupBy(*by, "k").agg(F.count("*").alias("total")).where(F.col("total") >= least)
+    wins = ngrams(zones, lo, hi, (*(c for c in by if c != "zone"), "tag")).where(F.col("k").isin(*lengths))
     each = lambda df: df.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("b", F.substring(F.col("pattern"), (2 * F.col("pos") + 1).cast("int"), F.lit(2)))
-    distinct = wins.groupBy(*by, "k", "pattern").agg(F.count("*").alias("n"), F.min(F.shiftleft(F.col("doc_id"), 16) + F.col("at")).alias("seen"), F.collect_set("tag").alias("tags"))
+    tagged = wins.groupBy(*by, "k", "pattern", "tag").agg(F.count("*").alias("n"), F.min(F.shiftleft(F.col("doc_id"), 16) + F.col("at")).alias("seen"))
+    distinct = tagged.groupBy(*by, "k", "pattern").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    enough = distinct.groupBy(*by, "k").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     counts = each(distinct).groupBy(*by, "k", "pos", "b").agg(F.sum("n").alias("n"))
     ent = _entropy(counts, [*by, "k", "pos"])
     anchors = ent.where(F.col("entropy") < threshold).groupBy(*by, "k").agg(F.sort_array(F.collect_list("pos")).alias("anchors")).join(enough, [*by, "k"]).drop("total")
     key = F.array_join(F.transform("anchors", lambda p: F.substring(F.col("pattern"), (2 * p + 1).cast("int"), F.lit(2))), "")
+    anchors = F.broadcast(anchors)  # a row for each group and length
     keyed = distinct.join(anchors, [*by, "k"]).withColumn("key", key)
     group = [*by, "k", "key"]
-    sizes = keyed.groupBy(*group).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.size(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("sources")).where(F.col("n") >= least)
+    owners = tagged.join(anchors, [*by, "k"]).withColumn("key", key).groupBy(*group, "tag").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    sizes = owners.groupBy(*group).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.count("*").alias("sources")).where(F.col("n") >= least)
     inner = each(keyed.join(sizes.select(*group), group, "left_semi")).groupBy(*group, "pos", "b").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     best = inner.groupBy(*group, "pos").agg(F.min_by("b", F.struct(-F.col("n"), F.col("seen"))).alias("b"))
     cell = _entropy(inner, [*group, "pos"]).join(best, [*group, "pos"]).withColumn("cell", F.when(F.col("entropy") < fixed_below, F.col("b")).otherwise("??"))
@@ -178,17 +289,19 @@ def _entropy(counts: DataFrame, by: list[str]) -> DataFrame:
 
 
 def dedup_templates(found: DataFrame, share: float = 0.8, by: tuple[str, ...] = ("zone",)) -> DataFrame:
-    """Templates that no longer one of at least share * n windows contains: a fixed byte must meet the same fixed byte."""
-    o = found.select(*by, F.col("k").alias("k2"), F.col("template").alias("t2"), F.col("n").alias("n2"))
-    own, other = F.col("template"), F.col("t2")
-
-    def here(s: Column) -> Column:
-        at = lambda t, i: F.substring(t, (2 * i + 1).cast("int"), F.lit(2))
-        return F.forall(F.sequence(F.lit(0), F.col("k") - 1), lambda i: (at(own, i) == "??") | (at(own, i) == at(other, s + i)))
-
-    inside = F.exists(F.sequence(F.lit(0), F.col("k2") - F.col("k")), here)
-    found = found.alias("f")
-    test = (F.col("k2") > F.col("k")) & (F.col("n2") >= F.col("n") * share) & inside
-    for c in by:
-        test = (F.col(f"f.{c}") == F.col(f"o.{c}")) & test
-    return found.join(o.alias("o"), test, "left_anti")
+    """Templates that no longer one of at least share * n windows contains: a fixed byte must meet the same fixed byte.
+
+    Shorter templates have few shapes (length and places of ??). Longer ones are cut
+    into pieces of those lengths, each piece takes each shape, and the greatest n of
+    every shaped piece is kept; a template meets its own piece on equal keys. ?? in a
+    longer one stays in a shape's fixed place and so meets no shorter one.
+    """
+    shape = F.regexp_replace("template", "[0-9a-f]{2}", "ff")
+    shapes = found.select(*by, F.col("k").alias("short"), shape.alias("shape")).distinct()
+    pieces = found.select(*by, "k", "template", "n").join(shapes, [*by]).where("short < k")
+    at = F.explode(F.sequence(F.lit(0), F.col("k") - F.col("short")))
+    pieces = pieces.withColumn("at", at).select(*by, "short", "shape", "n", F.substring(F.col("template"), (2 * F.col("at") + 1).cast("int"), (2 * F.col("short")).cast("int")).alias("piece"))
+    two = lambda c, i: F.substring(F.col(c), F.lit(2 * i + 1), F.lit(2))
+    shaped = F.concat(*(F.when(two("shape", i) == "??", "??").otherwise(two("piece", i)) for i in range(16)))
+    over = pieces.groupBy(*by, F.col("short").alias("k"), shaped.alias("template")).agg(F.max("n").alias("__over"))
+    return found.join(over, [*by, "k", "template"], "left").where(F.col("__over").isNull() | (F.col("__over") < F.col("n") * share)).drop("__over")

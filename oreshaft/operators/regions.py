@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_at, cut, hex_of, source_tag
+from .ranking import tag_lists
 from .stats import byte_entropy
 
 ZONES = ("prologue", "epilogue", "pre_context", "post_context")
@@ -87,11 +88,14 @@ def edge_bytes(regions: DataFrame, top: int = 20) -> DataFrame:
 
 
 def edge_pairs(regions: DataFrame, top: int = 20) -> DataFrame:
-    """(edge, pair, n, sources): the top first and last byte pairs of regions of two bytes or more, with their tags."""
+    """(edge, pair, n, sources, tags, more): the top first and last byte pairs of regions of two bytes or more, with their first tags."""
     s, e, c = F.col("start"), F.col("end"), F.col("content")
     r = clamped(regions).where("`end` - start >= 2").withColumn("tag", source_tag(F.col("device"), F.col("file_name"), s))
-    counts = _zones(r, {"first": hex_of(cut(c, s, s + 2)), "last": hex_of(cut(c, e - 2, e))}).groupBy("zone", "hexed").agg(F.count("*").alias("n"), F.min("doc_id").alias("seen"), F.countDistinct("tag").alias("sources"), F.sort_array(F.collect_set("tag")).alias("tags"))
-    return _top(counts, ["zone"], [F.col("n").desc(), F.col("seen")], top).select(F.col("zone").alias("edge"), F.col("hexed").alias("pair"), "n", "sources", "tags")
+    each = _zones(r, {"first": hex_of(cut(c, s, s + 2)), "last": hex_of(cut(c, e - 2, e))}).select("zone", "hexed", "doc_id", "tag")
+    counts = each.groupBy("zone", "hexed").agg(F.count("*").alias("n"), F.min("doc_id").alias("seen"))
+    best = _top(counts, ["zone"], [F.col("n").desc(), F.col("seen")], top)
+    met = each.join(F.broadcast(best.select("zone", "hexed")), ["zone", "hexed"])
+    return best.join(tag_lists(met, ["zone", "hexed"]), ["zone", "hexed"]).select(F.col("zone").alias("edge"), F.col("hexed").alias("pair"), "n", "sources", "tags", "more")
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:

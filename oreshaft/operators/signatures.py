@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.bytes import first_match
+from . import windows
+from .ranking import tag_lists
 
 #: Signatures by version, as name and pattern (?? is any byte), in the order of reports.
 SIGNATURES = {
@@ -132,9 +138,20 @@ def registry(version: int = 2) -> list[tuple[str, str]]:
 
 def scan(zones: DataFrame, signatures: list[tuple[str, str]]) -> DataFrame:
     """zones' columns but hexed, with ordinal, name, pattern and off: each signature's first match in each zone."""
-    keep = [c for c in zones.columns if c != "hexed"]
-    every = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("name"), F.lit(p).alias("pattern"), first_match(F.col("hexed"), p).alias("off")) for i, (name, p) in enumerate(signatures)))
-    return zones.select(*keep, F.inline(every)).where("off is not null")
+    keep = [c for c in zones.columns if c not in ("hexed", "ordinal", "name", "pattern", "off")]
+    source = zones.select(*keep, "hexed")
+    names, patterns = (pa.array([x[i] for x in signatures], pa.string()) for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, cells, size in windows.rows_of(b.column(len(keep))):
+                off = np.stack([windows.first_matches(cells, size, p) for _, p in signatures])
+                ordinal, at = np.nonzero(off >= 0)
+                row, which = pa.array(rows[at]), pa.array(ordinal.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(len(keep))), which, names.take(which), patterns.take(which), pa.array(off[ordinal, at].astype(np.int32))], names=[*keep, "ordinal", "name", "pattern", "off"])
+
+    schema = T.StructType([source.schema[c] for c in keep]).add("ordinal", "integer").add("name", "string").add("pattern", "string").add("off", "integer")
+    return source.mapInArrow(run, schema)
 
 
 def scores(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -142,6 +159,7 @@ def scores(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return hits.groupBy(*by, F.split("name", " ")[0].alias("arch")).agg(F.count("*").alias("hits"))
 
 
-def report(hits: DataFrame, by: tuple[str, ...] = ("zone",)) -> DataFrame:
-    """(ordinal, name, by, hits, sources, tags) in the registry's order."""
-    return hits.groupBy("ordinal", "name", *by).agg(F.count("*").alias("hits"), F.countDistinct("tag").alias("sources"), F.sort_array(F.collect_set("tag")).alias("tags"))
+def report(hits: DataFrame, by: tuple[str, ...] = ("zone",), shown: int = 6) -> DataFrame:
+    """(ordinal, name, by, hits, sources, tags, more) in the registry's order: the first `shown` tags and how many others there are."""
+    key = ["ordinal", "name", *by]
+    return hits.groupBy(*key).agg(F.count("*").alias("hits")).join(tag_lists(hits, key, shown), key)

@@ -59,7 +59,7 @@ def miner(found: DataFrame, p: Miner | None = None) -> dict[str, DataFrame]:
         "edge_pairs": regions.edge_pairs(found),
         "zone_entropy": regions.zone_entropy(zones),
         "positional_entropy": regions.positional_entropy(zones, p.window, p.version),
-        "patterns": mining.top_patterns(mining.counted(grams, tags=True), top=p.top, least=p.least),
+        "patterns": mining.with_sources(mining.top_patterns(mining.counted(grams), top=p.top, least=p.least), grams),
         "cross_device": mining.cross_device(grams.where("zone = 'prologue'")),
         "templates": mining.dedup_templates(made),
         "signatures": signatures.report(hits),
