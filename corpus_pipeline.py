@@ -2,9 +2,14 @@
 
 Language identification rejects documents without a known language, line dedup
 takes repeated lines out of the texts, near-dedup keeps one document of each
-group, decontamination drops documents that hold benchmark passages, and mixing
+group, decontamination drops documents that hold any benchmark passage, and mixing
 says how many copies of each document the training mix takes. A document that line
 dedup leaves without words stays until the mix, which takes nothing of it.
+
+Rows of one doc_id are one document to line dedup and near-dedup; documents with a
+null doc_id have no near-duplicates. All stages but the last return the columns of
+documents; the last adds size, source_size, target and copies, and gives a row of its
+own to every row that it takes.
 """
 
 from __future__ import annotations
@@ -13,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oreshaft.llm import decontaminate, langid, linededup, mixing, neardup
-from oreshaft.llm._shared import table, written
+from oreshaft.llm._shared import Scratch, table, written
 
-#: Least probability of a language below which a document is rejected.
-MIN_SCORE = 0.3
+#: Least probability of a language below which a document is rejected, as one in whose text no language shows.
+MIN_SCORE = 0.5
 
 #: No SQL: a trained network, a random rounding and similarity groups.
 ORACLE_SQL = None
@@ -41,9 +46,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which benchmark passages make up a twentieth or more."""
+    """Drop documents that hold a window of a benchmark item, however long the rest is."""
     found = decontaminate.judged(decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark")))
-    return found.where("not contaminated").select(*docs.columns)
+    return found.where("n_hit = 0").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +70,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as s:
+        for name, stage in STAGES[:-1]:
+            docs = s.written(stage(spark, docs, sf_dir), name)
+        return STAGES[-1][1](spark, docs, sf_dir)
