@@ -174,7 +174,8 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: in
             runs.add(keys.where(F.col("batch") == i).drop("batch"))
         index = runs.rows().select("a", "b", F.col("doc_id").alias("owner"))
         drops = keys.join(index, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("owner")))
-        drops = s.written(drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("a", "b")).alias("__drop")), "line_drops", keep=True)
+        with settings(spark, spark__sql__sources__bucketing__enabled="false"):  # both sides are dealt anew, so that Spark can split a frequent line
+            drops = s.written(drops.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("a", "b")).alias("__drop")), "line_drops", keep=True)
     joined = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if c == text else F.col(f"`{c}`") for c in carry), F.col(f"`{doc_id}`").alias("__doc")).join(drops, F.col("__doc").eqNullSafe(F.col("__id")), "left")
     schema = T.StructType([joined.schema[c] for c in carry]).add("n_lines", "long").add("n_dropped", "long")
     return joined.select(*(f"`{c}`" for c in carry), "__drop").mapInArrow(_dropper(carry, carry.index(text)), schema)
