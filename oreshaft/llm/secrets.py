@@ -13,20 +13,26 @@ Each distinct blob's text is shuffled once at most; copies are collapsed before
 the shuffle. Only addresses and spans take part in the joins back, and a hot
 blob's partition is one that Spark splits.
 
+Two scans at once may append the same pair twice; their spans are one on reading.
+
 Nulls: a null content is the empty blob; null paths and versions are kept as
-they are. Repeated rows each get their spans.
+they are. Repeated rows each get their spans. An empty table gives an empty result;
+columns named blob or spans are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import scratch
 
 SPAN = "struct<start:int,kind:int,stop:int>"
+#: Matches that are put together by one array.
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -66,20 +72,31 @@ def spans_of(text: Column, rule: Rule) -> Column:
     sizes = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x))
     found = F.struct(whole.alias("w"), inner.alias("g"), sizes.alias("gap"))
 
-    def walk(f: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    none = F.array().cast(f"array<{SPAN}>")
 
-        def step(acc: Column, i: Column) -> Column:
+    def step(f: Column):
+        def add(acc: Column, i: Column) -> Column:
             a = acc["at"] + F.element_at(f["gap"], i)
             b = a + F.char_length(F.element_at(f["w"], i))
             span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("stop"))
             keep = F.char_length(F.element_at(f["g"], i)) >= rule.least
             return F.struct(b.alias("at"), F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-        return F.when(F.size(f["w"]) > 0, F.aggregate(F.sequence(F.lit(1), F.size(f["w"])), start, step)["out"]).otherwise(F.array().cast(f"array<{SPAN}>"))
+        return add
+
+    def walk(f: Column) -> Column:
+        """Spans by running sums, CHUNK matches at a time: an array that grows by a copy for each match would take their square."""
+        n = F.size(f["w"])
+
+        def chunk(acc: Column, c: Column) -> Column:
+            own = F.aggregate(F.sequence(c * CHUNK + 1, F.least(c * CHUNK + CHUNK, n)), F.struct(acc["at"].alias("at"), none.alias("out")), step(f))
+            return F.element_at(F.transform(F.array(own), lambda o: F.struct(o["at"].alias("at"), F.concat(acc["out"], F.array(o["out"])).alias("out"))), 1)
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.when(n > 0, F.flatten(F.aggregate(F.sequence(F.lit(0), ((n - 1) / CHUNK).cast("int")), start, chunk)["out"])).otherwise(none)
 
     some = F.element_at(F.transform(F.array(found), walk), 1)
-    return F.when(text.rlike(quick), some).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(quick), some).otherwise(none)
 
 
 LEDGER = f"blob string, rule_version int, spans array<{SPAN}>"
@@ -93,9 +110,12 @@ class Ledger:
 
     def rows(self) -> DataFrame | None:
         """The ledger so far; None before the first scan."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        there = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-        return self.spark.read.schema(LEDGER).parquet(self.path) if there else None
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def scan(self, versions: DataFrame, content: str = "content", rule_versions: tuple[int, ...] = (1, 2)) -> DataFrame:
         """versions' columns but content, with blob and spans; scans what no earlier call did."""
@@ -114,7 +134,7 @@ class Ledger:
             for v in rule_versions
         ))
         blobs.select("blob", F.explode(pairs).alias("p")).where("p is not null").select("blob", "p.rule_version", "p.spans").write.mode("append").parquet(self.path)
-        spans = self.rows().where(F.col("rule_version").isin(*rule_versions) & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+        spans = self.rows().where(F.col("rule_version").isin(*rule_versions) & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
         return addressed.drop("__text").join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
