@@ -106,8 +106,8 @@ def text_of(fp: Column) -> Column:
 def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", tie: str = "text") -> DataFrame:
     """docs with a struct `next` of the given columns from the next row in descending doc_id; the first follows the last.
 
-    Rows are dealt to ranges of ids (as many as shuffle partitions) and shuffled
-    once. The first row of a range also goes, as a ghost, to the range before it, so
+    Rows are dealt to ranges of ids (as many as shuffle partitions), a range to a task,
+    and shuffled once. The first row of a range also goes, as a ghost, to the range before it, so
     that no range needs another. Null ids come last, equal ids by a hash of the
     tie column. Driver: one id for each range.
     """
@@ -134,6 +134,7 @@ def with_next(docs: DataFrame, columns: list[str], doc_id: str = "doc_id", tie:
     own = F.struct(F.col("__part").alias("p"), F.lit(False).alias("ghost"))
     ghost = F.struct(lookup(before, "int").alias("p"), F.lit(True).alias("ghost"))
     placed = dealt.withColumn("__at", F.explode(F.when(F.col(doc_id).eqNullSafe(lookup(firsts, docs.schema[doc_id].dataType.simpleString())), F.array(own, ghost)).otherwise(F.array(own))))
+    placed = placed.repartitionById(len(cuts) + 1, F.col("__at.p"))  # a range is a task
     w = Window.partitionBy("__at.p").orderBy("__at.ghost", F.col(doc_id).desc_nulls_last(), F.xxhash64(tie), F.col(tie))
     return placed.withColumn("next", F.lead(F.struct(*columns)).over(w)).where("not __at.ghost").drop("__part", "__at")
 
