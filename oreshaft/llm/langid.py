@@ -4,22 +4,23 @@ Bytes are embedded; filters of widths 2, 3 and 4 run over fixed-length windows,
 each filter is max-pooled over its window, and a softmax layer gives a language.
 A text's windows cover it whole; their logits are averaged by bytes.
 
-Training takes at most `sample` labelled rows (chosen by a hash of doc_id, the
-same on every run), each with at most `slice_chars` characters from a place that
-the hash chooses. It runs on the driver, whose memory is so bounded. A language
-that the sample lacks is never predicted. Prediction embeds nothing: for each
+Training takes at most `sample` labelled rows, as many of each language (chosen by a
+hash of doc_id, the same on every run), each with at most `slice_chars` characters
+from a place that the hash chooses: it runs on the driver, whose memory these two
+bound. All windows of these slices count, also those of short texts. Prediction embeds nothing: for each
 byte offset in a filter one table of 256 rows holds embedding times weights.
 
 Nulls: rows with a null doc_id, text or lang train nothing. A null text, or one
 without a letter, is "und" with score 0, as all are when there is nothing to
-learn from.
+learn from. Repeated rows are each judged. An empty table gives an empty result;
+columns named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._words import buffers, map_texts
@@ -123,24 +124,31 @@ class ByteConvNet:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = 4000, slice_chars: int = 768, seed: int = 11) -> ByteConvNet | None:
-    """A network trained on rows that are not held out; None without any."""
+    """A network trained on rows that are not held out; None where no row has a text with a letter and a language.
+
+    Languages have the same number of rows each, or all that there are; where there are
+    more than `sample` languages, the most frequent ones have one.
+    """
     key = F.xxhash64(F.lit(seed), F.col(doc_id))
     at = F.pmod(key, F.greatest(F.char_length(text) - slice_chars + 1, F.lit(1))).cast("int") + 1
-    labelled = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & F.col(lang).isNotNull())
-    share = min(1.0, 2 * sample / max(1, labelled.count()))  # so that all tasks together send few rows more than are taken
+    own = F.col(lang).cast("string")
+    labelled = docs.where(~held_out(doc_id) & F.col(doc_id).isNotNull() & own.isNotNull() & F.col(text).rlike(r"\p{L}"))
+    counts = labelled.groupBy(own.alias("lang")).count().orderBy(F.desc("count"), "lang").limit(sample).collect()
+    if not counts:
+        return None
+    each = max(1, sample // len(counts))
+    # hashes below a bound by language, so that all tasks together send few rows more than are taken
+    bounds = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, (2 * each + 20) / r["count"]) * (1 << 30)))))
     rows = (
-        labelled.where((F.pmod(key, F.lit(1 << 30)) < int(share * (1 << 30))) & F.col(text).rlike(r"\p{L}"))
-        .select(key.alias("k"), F.col(lang).cast("string").alias("lang"), F.lower(F.substring(F.col(text), at, F.lit(slice_chars))).alias("piece"))
-        .orderBy(F.pmod("k", F.lit(1 << 30)), "k", "piece", "lang").limit(sample).collect()
+        labelled.where(F.pmod(key, F.lit(1 << 30)) < F.coalesce(F.try_element_at(bounds, own), F.lit(0)))
+        .select(key.alias("k"), own.alias("lang"), F.lower(F.substring(F.col(text), at, F.lit(slice_chars))).alias("piece"))
+        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("k", F.lit(1 << 30)), "k", "piece"))).where(F.col("r") <= each).select("lang", "piece").collect()
     )
-    if not rows:
-        return None
+    rows.sort()
     langs = sorted({r["lang"] for r in rows})
     data, offsets = buffers(pa.array([r["piece"] for r in rows], pa.string()))
-    x, doc, length = windows(data, offsets)
-    y = np.array([langs.index(r["lang"]) for r in rows])[doc]
-    enough = length >= 24
-    return ByteConvNet(langs).train(x[enough], y[enough])
+    x, doc, _ = windows(data, offsets)
+    return ByteConvNet(langs).train(x, np.array([langs.index(r["lang"]) for r in rows])[doc])
 
 
 def _kernel(net: ByteConvNet | None):
