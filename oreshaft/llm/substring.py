@@ -15,27 +15,28 @@ by one. Both joins are reductions by key to the smallest doc_id, done before the
 shuffle in part, so no pairs of documents arise, however many share a passage.
 Covered windows that touch make up maximal repeats, whose words are removed.
 
-Texts are read once for the runs, shuffled once for the opened runs' windows, and
-once for the result; both times they are reduced to documents with such runs where
-they meet. Contexts, grams and windows are told apart by 64-bit hashes of 64-bit
-word hashes, contexts by two.
+Texts are read twice: once for the runs, which are written, and once for those
+that have a run to open or to cut, which are shuffled once and kept in buckets for
+both. Inside opened runs a match is extended window by window, by hash, and not word
+by word: the occurrences of a frequent anchor never have to meet. Contexts, grams and
+windows are told apart by 64-bit hashes of 64-bit word hashes, contexts by two.
 
 Nulls: a null text has no words. A null doc_id counts as the largest. Rows with
 one doc_id are one document, whose repeats of itself stay. Texts of fewer than
-`least` words lose nothing.
+`least` words lose nothing. doc_ids are integers. An empty table gives an empty
+result; other columns of docs are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch, written
+from ._shared import Scratch
 from ._words import Texts, gram_hashes, lists, map_texts, mix, separators, texts
 
 LEAST = 50
@@ -110,11 +111,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runner(least: int, k: int):
+    """Each text's number of words, digest of all its words, and runs."""
     seps = separators()
 
     def kernel(column):
-        counts, cols = [], [[] for _ in range(5)]
+        words, digest, counts, cols = [], [], [], [[] for _ in range(5)]
         for t in texts(column, seps, False):
+            words.append(t.counts)
+            digest += [hashlib.sha256(x).hexdigest() for x in kept_texts(t, np.ones(len(t.starts), bool))]
             h = t.hashes()
             g, at, first, last, doc, bounds = window_runs(t, h, least, k)
             context, check = (_context(h, first, last, at, least, s).view(np.int64) for s in (5, 9)) if len(at) else (at, at)
@@ -122,20 +126,8 @@ def _runner(least: int, k: int):
                 c.append(v)
             counts.append(np.bincount(doc, minlength=len(t.counts)))
         arrays = [pa.array(np.concatenate(c).astype(np.int64 if i < 2 else np.int32)) for i, c in enumerate(cols)]
-        return [lists(np.concatenate(counts), pa.StructArray.from_arrays(arrays, ["anchor", "context", "check", "first", "last"]))]
-
-    return kernel
-
-
-def _counter():
-    seps = separators()
-
-    def kernel(column):
-        words, digest = [], []
-        for t in texts(column, seps, False):
-            words.append(t.counts)
-            digest += [hashlib.sha256(x).hexdigest() for x in kept_texts(t, np.ones(len(t.starts), bool))]
-        return [pa.array(np.concatenate(words).astype(np.int64)), pa.array(digest, pa.string())]
+        runs = lists(np.concatenate(counts), pa.StructArray.from_arrays(arrays, ["anchor", "context", "check", "first", "last"]))
+        return [pa.array(np.concatenate(words).astype(np.int64)), pa.array(digest, pa.string()), runs]
 
     return kernel
 
@@ -225,33 +217,32 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(LAST)).alias("did"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    runs = map_texts(base, lambda: _runner(least, k), {"runs": RUN}, carry=["did", "tid"]).select("did", "tid", F.explode("runs").alias("r")).select("did", "tid", "r.*")
-    contexts = runs.groupBy("anchor", "context", "check").agg(F.min("did").alias("owner"), F.max("did").alias("other"))
-    several = contexts.groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("anchor", F.lit(True).alias("open"))
-    shared = written(contexts.join(several, "anchor", "left").where("owner <> other or open").select("context", "check", "owner", F.coalesce("open", F.lit(False)).alias("open")), "contexts")
-    piece = F.struct("first", "last")
-    marks = runs.drop("anchor").join(shared, ["context", "check"]).where("owner < did or open")
-    marks = written(
-        marks.groupBy("did", "tid").agg(
-            F.collect_set(F.when(F.col("owner") < F.col("did"), piece)).alias("covered"),
-            F.collect_set(F.when(F.col("owner") == F.col("did"), piece)).alias("open"),
-        ), "marks",
-    )
-    name = f"repeat_texts_{uuid.uuid4().hex}"
-    wanted = base.select("did", "tid", "text").join(marks.select("did", "tid"), ["did", "tid"], "left_semi").dropDuplicates(["did", "tid"])
-    wanted.repartition(parts, "did").write.option("path", scratch(spark, "texts")).bucketBy(parts, "did").sortBy("did").saveAsTable(name)
-    full = spark.table(name)
-    opened = marks.where(F.size("open") > 0).select("did", "tid", "open").join(full, ["did", "tid"]).select("did", "tid", "open", "text")
-    windows = written(opened.mapInArrow(_opener(least), "did bigint, tid bigint, window bigint, check int, first int"), "windows")
-    earliest = windows.groupBy("window", "check").agg(F.min("did").alias("owner"), F.max("did").alias("other")).where("owner <> other").drop("other")
-    hits = windows.join(earliest, ["window", "check"]).where("owner < did").groupBy("did", "tid").agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("more"))
-    none = F.array().cast("array<struct<first:int,last:int>>")
-    covered = marks.join(hits, ["did", "tid"], "left").select("did", "tid", F.concat("covered", F.coalesce("more", none)).alias("covered")).where(F.size("covered") > 0)
-    cut = covered.join(full, ["did", "tid"]).select("did", "tid", "covered", "text")
-    cut = written(cut.mapInArrow(_cutter(least), f"did bigint, tid bigint, n_removed bigint, removed {SPANS}, sha string"), "cut")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    plain = map_texts(base, _counter, {"n_words": "bigint", "whole_sha": "string"}, carry=["doc_id", "did", "tid"])
-    return plain.join(cut, ["did", "tid"], "left").select(
+    who = ["did", "tid"]
+    with Scratch(spark) as s:
+        first = s.written(map_texts(base, lambda: _runner(least, k), {"n_words": "bigint", "whole_sha": "string", "runs": RUN}, carry=["doc_id", *who]), "runs", keep=True)
+        runs = first.select(*who, F.explode("runs").alias("r")).select(*who, "r.*")
+        contexts = runs.groupBy("anchor", "context", "check").agg(F.min("did").alias("owner"), F.max("did").alias("other"))
+        several = contexts.groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("anchor", F.lit(True).alias("open"))
+        shared = s.written(contexts.join(several, "anchor", "left").where("owner <> other or open").select("context", "check", "owner", F.coalesce("open", F.lit(False)).alias("open")), "contexts")
+        piece = F.struct("first", "last")
+        marks = runs.drop("anchor").join(shared, ["context", "check"]).where("owner < did or open")
+        marks = s.written(
+            marks.groupBy(*who).agg(
+                F.collect_set(F.when(F.col("owner") < F.col("did"), piece)).alias("covered"),
+                F.collect_set(F.when(F.col("owner") == F.col("did"), piece)).alias("open"),
+            ), "marks",
+        )
+        wanted = base.select(*who, "text").join(marks.select(*who), who, "left_semi").dropDuplicates()
+        full = s.bucketed(wanted, "repeat_texts", parts, *who)
+        opened = marks.where(F.size("open") > 0).select(*who, "open").join(full, who).select(*who, "open", "text")
+        windows = s.written(opened.mapInArrow(_opener(least), "did bigint, tid bigint, window bigint, check int, first int"), "windows")
+        earliest = windows.groupBy("window", "check").agg(F.min("did").alias("owner"), F.max("did").alias("other")).where("owner <> other").drop("other")
+        hits = windows.join(earliest, ["window", "check"]).where("owner < did").groupBy(*who).agg(F.collect_set(F.struct("first", F.col("first").alias("last"))).alias("more"))
+        none = F.array().cast("array<struct<first:int,last:int>>")
+        covered = marks.join(hits, who, "left").select(*who, F.concat("covered", F.coalesce("more", none)).alias("covered")).where(F.size("covered") > 0)
+        cut = covered.join(full, who).select(*who, "covered", "text")
+        cut = s.written(cut.mapInArrow(_cutter(least), f"did bigint, tid bigint, n_removed bigint, removed {SPANS}, sha string"), "cut", keep=True)
+    return first.select("doc_id", *who, "n_words", "whole_sha").join(cut, who, "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce("removed", F.array().cast(SPANS)).alias("removed"), F.coalesce("sha", "whole_sha").alias("kept_sha256"),
     )
