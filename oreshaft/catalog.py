@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions.bytes import spaced
 from .operators import decode, mining, regions, signatures, stats
 from .operators.ranking import sources_text
-from .sources import blobs, candidates, html, sinks
+from .sources import blobs, candidates, sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,9 +136,9 @@ def jsd_matrix(spark, sf_dir):
     return sinks.matrix(stats.similarity(_shares(spark, sf_dir), ["jsd"]), "jsd")
 
 
-@query(f"""WITH {SHARE} SELECT device, {', '.join(f"max(CASE WHEN b = {b} THEN format('{{:.10f}}', p) END) AS b{b:02x}" for b in range(256))} FROM share GROUP BY device""")
+@query(f"""WITH {SHARE} SELECT device, max((SELECT count(*) FROM blob WHERE blob.device = share.device AND n > 0)) AS num_files, {', '.join(f"max(CASE WHEN b = {b} THEN format('{{:.10f}}', p) END) AS b{b:02x}" for b in range(256))} FROM share GROUP BY device""")
 def hist_wide(spark, sf_dir):
-    return sinks.wide_histogram(_shares(spark, sf_dir))
+    return sinks.wide_histogram(_shares(spark, sf_dir), stats.files_counted(blobs.document_blobs(spark, sf_dir)))
 
 
 @query(f"WITH {HIST} SELECT device, round(-sum((n / t) * log2(n / t)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY device) AS t FROM hist) GROUP BY device")
@@ -477,35 +477,68 @@ def motif_score_rank(spark, sf_dir):
     return stats.rounded(ranked.drop("top_start_hit", "top_end_hit"), "start_score", "end_score", "total_score")
 
 
-THRESHOLD = 5.0
-TEMPLATE = f"""w AS (SELECT zone, k, doc_id, o, tag, pattern FROM gram),
+def _template_cte(threshold: float, least: str = "3") -> str:
+    return f"""w AS (SELECT zone, k, doc_id, o, tag, pattern FROM gram),
 wb AS (SELECT *, substr(pattern, 2 * pos + 1, 2) AS b FROM (SELECT *, unnest(range(0, k)) AS pos FROM w)),
 pc AS (SELECT zone, k, pos, b, count(*) AS n FROM wb GROUP BY ALL),
 pe AS (SELECT zone, k, pos, sum(n) AS t, round(-sum((n / t) * log2(n / t)), 12) AS ent FROM (SELECT *, sum(n) OVER (PARTITION BY zone, k, pos) AS t FROM pc) GROUP BY ALL),
-an AS (SELECT zone, k, list(pos ORDER BY pos) AS anchors FROM pe WHERE ent < {THRESHOLD} GROUP BY ALL HAVING max(t) >= 3),
+an AS (SELECT zone, k, list(pos ORDER BY pos) AS anchors FROM pe WHERE ent < {threshold} GROUP BY ALL HAVING max(t) >= {least}),
 kw AS (SELECT w.*, array_to_string(list_transform(anchors, lambda p: substr(pattern, 2 * p + 1, 2)), '') AS key FROM w JOIN an USING (zone, k)),
-gr AS (SELECT zone, k, key, count(*) AS n, count(DISTINCT tag) AS sources, min((doc_id, o)) AS seen FROM kw GROUP BY ALL HAVING count(*) >= 3),
+gr AS (SELECT zone, k, key, count(*) AS n, count(DISTINCT tag) AS sources, min((doc_id, o)) AS seen FROM kw GROUP BY ALL HAVING count(*) >= {least}),
 cb AS (SELECT zone, k, key, pos, b, count(*) AS n, min((doc_id, o)) AS seen FROM (SELECT *, substr(pattern, 2 * pos + 1, 2) AS b FROM (SELECT kw.*, unnest(range(0, k)) AS pos FROM kw JOIN gr USING (zone, k, key))) GROUP BY ALL),
 ce AS (SELECT zone, k, key, pos, round(-sum((n / t) * log2(n / t)), 12) AS ent, max(b) FILTER (WHERE rn = 1) AS b FROM (
   SELECT *, sum(n) OVER (PARTITION BY zone, k, key, pos) AS t, row_number() OVER (PARTITION BY zone, k, key, pos ORDER BY n DESC, seen) AS rn FROM cb) GROUP BY ALL),
 tp AS (SELECT zone, k, key, string_agg(CASE WHEN ent < 1 THEN b ELSE '??' END, '' ORDER BY pos) AS template, count(*) FILTER (WHERE ent < 1) AS fixed FROM ce GROUP BY ALL HAVING fixed >= 1),
 t AS (SELECT zone, k, template, n, sources, fixed FROM tp JOIN gr USING (zone, k, key))"""
+
+
 _INNER = "zone IN ('prologue', 'epilogue')"
+_TEMPLATE_COLUMNS = ("zone", "k", "template", "n", "sources", "fixed")
+#: Text bytes are alike everywhere, at 4.4 to 4.6 bits: with this bound all positions are anchors.
+ALL_ANCHORS = 5.0
+#: Bytes 0 to 7 of a zone cut to their lowest bit: with the miners' own bounds of 3 and 2.5 bits some positions are anchors and others are not.
+_HALF_SQL = "".join(f"CASE WHEN length(hexed) > {2 * i} THEN '0' || CASE WHEN substr(hexed, {2 * i + 2}, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN '1' ELSE '0' END ELSE '' END || " for i in range(8))
+HALF_ZONES = ZONES.replace(", z AS (", ", z0 AS (") + f", z AS (SELECT doc_id, device, tag, s, e, zone, {_HALF_SQL}substr(hexed, 17) AS hexed FROM z0 WHERE {_INNER})"
+
+
+def _half_zones(spark, sf_dir):
+    digit = lambda i: F.substring("hexed", 2 * i + 2, 1)
+    cells = [F.when(F.char_length("hexed") > 2 * i, F.when(digit(i).isin(*"13579bdf"), "01").otherwise("00")).otherwise("") for i in range(8)]
+    return _zones(spark, sf_dir).where(_INNER).withColumn("hexed", F.concat(*cells, F.substring("hexed", 17, 1 << 20)))
+
+
+_DEDUP_SQL = "SELECT zone, k, template, n, sources, fixed FROM t WHERE NOT EXISTS (SELECT 1 FROM t x, (SELECT CAST(unnest(range(0, {span})) AS BIGINT) AS at0) WHERE x.zone = t.zone AND x.k > t.k AND x.n >= t.n * 0.8 AND at0 <= x.k - t.k AND regexp_matches(substr(x.template, 2 * at0 + 1, 2 * t.k), '^' || replace(t.template, '??', '..') || '$'))"
 
 
 def _templates(spark, sf_dir):
-    return mining.templates(_zones(spark, sf_dir).where(_INNER), threshold=THRESHOLD)
+    return mining.templates(_zones(spark, sf_dir).where(_INNER), threshold=ALL_ANCHORS)
 
 
-@query(f"WITH {ZONES}, {_grams(2, 6, _INNER)}, {TEMPLATE} SELECT zone, k, template, n, sources, fixed FROM t")
+@query(f"WITH {ZONES}, {_grams(2, 6, _INNER)}, {_template_cte(ALL_ANCHORS)} SELECT zone, k, template, n, sources, fixed FROM t")
 def templates(spark, sf_dir):
-    return _templates(spark, sf_dir).select("zone", "k", "template", "n", "sources", "fixed")
+    return _templates(spark, sf_dir).select(*_TEMPLATE_COLUMNS)
 
 
-@query(f"""WITH {ZONES}, {_grams(2, 6, _INNER)}, {TEMPLATE} SELECT zone, k, template, n, sources, fixed FROM t WHERE NOT EXISTS (
+@query(f"""WITH {ZONES}, {_grams(2, 6, _INNER)}, {_template_cte(ALL_ANCHORS)} SELECT zone, k, template, n, sources, fixed FROM t WHERE NOT EXISTS (
   SELECT 1 FROM t x, (SELECT CAST(unnest(range(0, 5)) AS BIGINT) AS at0) WHERE x.zone = t.zone AND x.k > t.k AND x.n >= t.n * 0.8 AND at0 <= x.k - t.k AND substr(x.template, 2 * at0 + 1, 2 * t.k) LIKE replace(t.template, '?', '_'))""")
 def templates_dedup(spark, sf_dir):
-    return mining.dedup_templates(_templates(spark, sf_dir)).select("zone", "k", "template", "n", "sources", "fixed")
+    return mining.dedup_templates(_templates(spark, sf_dir)).select(*_TEMPLATE_COLUMNS)
+
+
+@query(f"WITH {HALF_ZONES}, {_grams(2, 6)}, {_template_cte(3.0)} SELECT zone, k, template, n, sources, fixed FROM t")
+def templates_wild(spark, sf_dir):
+    return mining.templates(_half_zones(spark, sf_dir)).select(*_TEMPLATE_COLUMNS)
+
+
+@query(f"WITH {HALF_ZONES}, {_grams(2, 6)}, {_template_cte(3.0)} {_DEDUP_SQL.format(span=5)}")
+def templates_wild_dedup(spark, sf_dir):
+    return mining.dedup_templates(mining.templates(_half_zones(spark, sf_dir))).select(*_TEMPLATE_COLUMNS)
+
+
+@query(f"WITH {HALF_ZONES}, {_grams(2, 8)}, {_template_cte(2.5, '(SELECT greatest(2, count(*) // 8) FROM region WHERE s < least(n, e))')} SELECT zone, k, template, n, sources, fixed FROM t")
+def templates_v3(spark, sf_dir):
+    found = regions.region_counts(_regions(spark, sf_dir)).first()["regions"]
+    return mining.templates(_half_zones(spark, sf_dir), range(2, 9), max(2, found // 8), 2.5).select(*_TEMPLATE_COLUMNS)
 
 
 # --- signals ------------------------------------------------------------------
@@ -550,22 +583,3 @@ c AS (SELECT doc_id, off, b, count(*) AS n FROM (SELECT doc_id, off, unnest(rege
 SELECT doc_id, off, round(-sum((n / 2560) * log2(n / 2560)), 6) AS entropy FROM c GROUP BY ALL""")
 def sliding_entropy(spark, sf_dir):
     return stats.rounded(stats.sliding_entropy(_series(spark, sf_dir)), "entropy")
-
-
-# --- pages --------------------------------------------------------------------
-
-
-@query(r"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages), o AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS a FROM a)
-SELECT page_id, pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, trim(regexp_replace(regexp_extract(a, '>([^<]*)<', 1), '\s+', ' ', 'g')) AS label FROM o""")
-def html_rows(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
-    return html.links(pages)
-
-
-@query(r"""WITH p AS (SELECT page_id, page_id % 7 AS model, CASE WHEN page_id % 5 = 0 THEN 'soon' ELSE strftime(DATE '2020-01-01' + CAST(page_id * 37 % 900 AS INT), '%b %-d, %Y') END AS d FROM pages)
-SELECT page_id, CAST(model AS VARCHAR) AS model, row_number() OVER (PARTITION BY model ORDER BY coalesce(try_strptime(d, '%b %d, %Y'), TIMESTAMP '0001-01-01') DESC, page_id) AS rank FROM p""")
-def changelog_sorted(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
-    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("page_id") * 37 % 900).cast("int")), "MMM d, yyyy")
-    rows = pages.select("page_id", (F.col("page_id") % 7).cast("string").alias("model"), F.when(F.col("page_id") % 5 == 0, "soon").otherwise(day).alias("date"))
-    return html.newest_first(rows, ["model"], "page_id").select("page_id", "model", "rank")

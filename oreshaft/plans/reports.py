@@ -73,7 +73,8 @@ def grouped_miner(found: DataFrame, p: Miner) -> dict[str, dict[str, DataFrame]]
 
     Templates of each group and of all regions need at least max(2, regions // 8)
     windows, and those of a group an entropy below 2.5 at their anchors, unless the
-    parameters say otherwise. Other patterns keep the parameters' minimum.
+    parameters say otherwise. Other patterns keep the parameters' minimum. The regions
+    of each group are counted here, as the plan depends on their number.
     """
     routed = regions.route_groups(found, p.groups)
     out = {}
@@ -123,7 +124,8 @@ def similarity(blobs: DataFrame, offset: int = 6000, code_only: bool = False, bl
     shares = stats.normalised(counts)
     metrics = ["jsd", "chi2", "cosine" if code_only else "sorted_cosine"]
     pairs = stats.similarity(shares, metrics)
-    out = {"histogram": sinks.wide_histogram(shares), "pairs": pairs, "closest": stats.closest(pairs, "jsd")}
+    files = stats.files_counted(blobs, offset=offset)
+    out = {"histogram": sinks.wide_histogram(shares, files), "pairs": pairs, "closest": stats.closest(pairs, "jsd")}
     return out | {f"matrix_{m}": sinks.matrix(pairs, m) for m in metrics}
 
 

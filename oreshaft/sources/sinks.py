@@ -11,13 +11,14 @@ def matrix(pairs: DataFrame, metric: str, digits: int = 6) -> DataFrame:
     return pairs.groupBy(F.col("d1").alias("device")).pivot("d2").agg(F.first(F.format_string(f"%.{digits}f", metric))).orderBy("device")
 
 
-def wide_histogram(shares: DataFrame, by: str = "device", digits: int = 10) -> DataFrame:
-    """(by, b00 … bff): formatted shares."""
-    return shares.select(by, *(F.format_string(f"%.{digits}f", F.get("p", F.lit(b))).alias(f"b{b:02x}") for b in range(256)))
+def wide_histogram(shares: DataFrame, files: DataFrame, by: str = "device", digits: int = 10) -> DataFrame:
+    """(by, num_files, b00 … bff): formatted shares, with the files counted (by, num_files)."""
+    return shares.join(files, by).select(by, "num_files", *(F.format_string(f"%.{digits}f", F.get("p", F.lit(b))).alias(f"b{b:02x}") for b in range(256)))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.csv(path, header=True, mode=mode)
+    """Headed, quotes doubled as in RFC 4180."""
+    df.write.csv(path, header=True, mode=mode, quote='"', escape='"')
 
 
 def write_document(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -45,7 +46,7 @@ def write_blobs(blobs: DataFrame, folder: str, suffix: str = "_codeonly.bin") ->
         for r in rows:
             target.create_dir(f"{root}/{r['device']}", recursive=True)
             path = f"{root}/{r['device']}/{r['file_name'].removesuffix('.dat')}{suffix}"
-            with target.open_output_stream(path + ".part") as out:
+            with target.open_output_stream(path + ".part", compression=None) as out:
                 out.write(bytes(r["content"]))
             target.move(path + ".part", path)
 

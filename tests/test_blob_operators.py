@@ -216,5 +216,7 @@ def test_changelog_page(spark):
       <tr data-modelno="M2"><td class="firmware-date">Feb 1, 2022</td><td class="firmware-version">1</td><td class="firmware-message"> </td></tr></table></div><tr data-modelno="M3"><td class="firmware-message">out</td></tr>"""
     rows = html.changelog_rows(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string"))
     assert sorted((r["model"], r["date"], r["version"], r["message"]) for r in rows.collect()) == [("M1", "Feb 1, 2022", "4.2", "New"), ("M1", "Jan 5, 2021", "4.1", "Fixed it"), ("M1", "soon", "4.0", "Old")]
-    body = html.changelog_text(rows.withColumn("pos", F.monotonically_increasing_id())).first()
+    made = {r["model"]: r for r in html.changelog_text(rows, ["M1", "M 7"]).collect()}
+    body = made["M1"]
+    assert made["M 7"]["file"] == "M_7.txt" and made["M 7"]["body"].endswith("No entries found.\n")
     assert body["file"] == "M1.txt" and [body["body"].index(x) for x in ("New", "Fixed it", "Old")] == sorted(body["body"].index(x) for x in ("New", "Fixed it", "Old"))
