@@ -99,6 +99,11 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(text.rlike(quick), some).otherwise(none)
 
 
+def _once(spans: Column) -> Column:
+    """Sorted spans without repeats."""
+    return F.element_at(F.transform(F.array(spans), lambda s: F.filter(s, lambda x, i: (i == 0) | (x != F.get(s, i - 1)))), 1)
+
+
 LEDGER = f"blob string, rule_version int, spans array<{SPAN}>"
 
 
@@ -134,7 +139,7 @@ class Ledger:
             for v in rule_versions
         ))
         blobs.select("blob", F.explode(pairs).alias("p")).where("p is not null").select("blob", "p.rule_version", "p.spans").write.mode("append").parquet(self.path)
-        spans = self.rows().where(F.col("rule_version").isin(*rule_versions) & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        spans = self.rows().where(F.col("rule_version").isin(*rule_versions) & (F.size("spans") > 0)).groupBy("blob").agg(_once(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"))
         return addressed.drop("__text").join(spans, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
 
 
