@@ -92,17 +92,20 @@ class ByteConvNet:
             np.add.at(g["emb"], x[np.arange(n)[:, None, None], at], de)
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 3) -> ByteConvNet:
-        r, m, t = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}, 0
-        for epoch in range(epochs):
-            order = r.permutation(len(x))
-            for lo in range(0, len(x), batch):
-                b, t = order[lo : lo + batch], t + 1
-                for k, g in self.step(x[b], y[b]).items():
-                    a, s = m[k]
-                    a += 0.1 * (g - a)
-                    s += 0.01 * (g * g - s)
-                    self.p[k] -= rate / (1 + epoch) * (a / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-7)
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 3, least: int = 400) -> ByteConvNet:
+        """Adam over shuffled batches: `epochs` passes, or as many as make up `least` steps, the rate falling as 1, 1/2, ... 1/8."""
+        r, m = np.random.default_rng(seed), {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
+        each = -(-len(x) // batch)
+        total = max(epochs, -(-least // each)) * each
+        for t in range(total):
+            if t % each == 0:
+                order = r.permutation(len(x))
+            b = order[t % each * batch :][:batch]
+            for k, g in self.step(x[b], y[b]).items():
+                a, s = m[k]
+                a += 0.1 * (g - a)
+                s += 0.01 * (g * g - s)
+                self.p[k] -= rate / (1 + 8 * t // total) * (a / (1 - 0.9 ** (t + 1))) / (np.sqrt(s / (1 - 0.99 ** (t + 1))) + 1e-7)
         return self
 
     def tables(self) -> list[np.ndarray]:

@@ -293,14 +293,14 @@ def brute_hits(rows, items, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("group_bytes", [decontaminate.GROUP_BYTES, 9000])
-def test_decontamination(spark, empty, group_bytes):
+@pytest.mark.parametrize("limits", [{}, {"group_bytes": 9000, "piece_bytes": 90}])
+def test_decontamination(spark, empty, limits):
     r = random.Random(4)
     rows = corpus()[:40]
     bench = [(1, rows[3][1]), (2, "One"), (2, "two-words"), (3, None), (None, "Ünï çödé ñ"), (5, ""), (6, rows[5][1])]
     rows += [(900 + i, " ".join(r.choice(["two", "words", "one", "a1"]) for _ in range(600)), None, None, 1) for i in range(2)]
     df, b = spark.createDataFrame(rows, DOCS), spark.createDataFrame(bench, "item_id long, text string")
-    got = decontaminate.judged(decontaminate.find_benchmark(df.withColumn("N_WORDS", F.lit("x")), b, group_bytes=group_bytes))
+    got = decontaminate.judged(decontaminate.find_benchmark(df.withColumn("N_WORDS", F.lit("x")), b, **limits))
     assert rows_of(got, "doc_id", "n_words", "n_hit", "hit_items", "contaminated") == brute_hits(rows, bench)
     assert decontaminate.find_benchmark(empty, b).count() == 0
     assert decontaminate.judged(decontaminate.find_benchmark(df, b.where("false"))).where("contaminated").count() == 0
