@@ -180,8 +180,8 @@ def _searching(names: list[str], held, window: int):
     return run
 
 
-def _cutter(window: int):
-    """Rows (item, text) to rows (item, piece): pieces of about PIECE_BYTES, every window in one of them."""
+def _cutter(window: int, piece_bytes: int):
+    """Rows (item, text) to rows (item, piece): pieces of about piece_bytes, every window in one of them."""
     seps = separators("alnum")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _cutter(window: int):
             for t in texts(b.column(1), seps, True):
                 for i, (lo, hi) in enumerate(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist())):
                     while lo < hi:
-                        end = min(hi, max(lo + window, int(np.searchsorted(t.ends, t.starts[lo] + PIECE_BYTES))))
+                        end = min(hi, max(lo + window, int(np.searchsorted(t.ends, t.starts[lo] + piece_bytes))))
                         items.append(t.first + i)
                         pieces.append(t.data[t.starts[lo] : t.ends[end - 1]].tobytes())
                         lo = hi if end == hi else end - window + 1
@@ -200,9 +200,9 @@ def _cutter(window: int):
     return run
 
 
-def groups(benchmark: DataFrame, window: int, group_bytes: int = GROUP_BYTES) -> Iterator[tuple[list[str], list[tuple[int, str]]]]:
+def groups(benchmark: DataFrame, window: int, group_bytes: int = GROUP_BYTES, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[list[str], list[tuple[int, str]]]]:
     """The benchmark group by group: sorted item names, and pieces with the index of their item."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_cutter(window), "item string, piece string")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_cutter(window, piece_bytes), "item string, piece string")
     group, size = [], 0
 
     def closed() -> tuple[list[str], list[tuple[int, str]]]:
@@ -219,7 +219,7 @@ def groups(benchmark: DataFrame, window: int, group_bytes: int = GROUP_BYTES) ->
     yield closed()
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", carry: list[str] | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", carry: list[str] | None = None, group_bytes: int = GROUP_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """docs' columns (or carry) with n_words, hit_spans (maximal runs of hit words, end exclusive) and hit_items (sorted ids)."""
     spark = docs.sparkSession
     new = ("n_words", "hit_spans", "hit_items", "__text")
@@ -227,7 +227,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, text
     source = docs.select(*(f"`{c}`" for c in carry), F.col(f"`{text}`").cast("string").alias("__text"))
     none = [F.array().cast(SPANS).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items")]
     schema = T.StructType([*source.schema]).add("n_words", "long").add("hit_spans", T.StructType.fromDDL(f"x {SPANS}")["x"].dataType).add("hit_items", T.ArrayType(T.StringType()))
-    more = groups(benchmark, window, group_bytes)
+    more = groups(benchmark, window, group_bytes, piece_bytes)
     group, frame, first, s = next(more), source.select("*", *none), True, Scratch(spark)
     with s:
         while True:
