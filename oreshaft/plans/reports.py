@@ -61,7 +61,7 @@ def miner(found: DataFrame, p: Miner | None = None) -> dict[str, DataFrame]:
         "positional_entropy": regions.positional_entropy(zones, p.window, p.version),
         "patterns": mining.with_sources(mining.top_patterns(mining.counted(grams), top=p.top, least=p.least), grams),
         "cross_device": mining.cross_device(grams.where("zone = 'prologue'")),
-        "templates": mining.dedup_templates(made),
+        "templates": mining.dedup_templates(made).orderBy(F.desc("sources"), F.desc("n"), "k", "seen"),
         "signatures": signatures.report(hits),
         "architectures": signatures.scores(hits),
         "dump": regions.region_dump(found, p.window, p.context),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,15 @@ def read_blobs(spark: SparkSession, paths: str | list[str], pattern: str = "*.da
     return reader.load(paths).select(F.element_at(parts, -2).alias("device"), F.element_at(parts, -1).alias("file_name"), "path", "length", "content")
 
 
+def labelled(paths: list[str], labels: list[str] | None = None) -> dict[str, str]:
+    """A label for each path: those given, one for each, or else the names without their suffix."""
+    if labels is None:
+        labels = [os.path.splitext(os.path.basename(p))[0] for p in paths]
+    if len(labels) != len(paths):
+        raise ValueError(f"{len(labels)} labels for {len(paths)} files")
+    return dict(zip(paths, labels))
+
+
 def by_name(blobs: DataFrame, root: str) -> DataFrame:
     """One blob for each file_name: one directly under root first, then the first path."""
     direct = F.col("path").rlike(r"^(file:)?/*\Q" + root.strip("/") + r"\E/[^/]+$")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oreshaft.functions import bytes as B
 from oreshaft.functions import distances as D
-from oreshaft.operators import decode, mining, regions, signatures, stats
+from oreshaft.operators import ranking, decode, mining, regions, signatures, stats
 from oreshaft.sources import blobs, candidates, html, sinks
 from oreshaft.streaming import arrivals
 
@@ -176,6 +176,9 @@ def test_files_candidates_and_sinks(spark, tmp_path):
     wanted = spark.createDataFrame([("one", "a b.dat"), ("one", "c.dat"), ("one", "no.dat")], "device string, file_name string")
     assert {r["file_name"]: r["content"] and bytes(r["content"]) for r in blobs.resolve(wanted, found, ["device", "file_name"]).collect()} == {"a b.dat": b"xy" * 9, "c.dat": b"z", "no.dat": None}
     assert [r[0] for r in blobs.missing(wanted, found).orderBy("file_name").collect()] == ["a b.dat", "no.dat"]
+    assert blobs.labelled(["/a/b.c.dat", "d"]) == {"/a/b.c.dat": "b.c", "d": "d"} and blobs.labelled(["/x"], ["y"]) == {"/x": "y"}
+    with pytest.raises(ValueError, match="2 labels for 1"):
+        blobs.labelled(["/x"], ["y", "z"])
     csv = tmp_path / "c.csv"
     csv.write_text('﻿device,base_file,new_file,start,end,side,note\none,b,n,12.0,20,base,"x ""y"" z"\none,b,n,zz,20,,\none,b,n,3,9,,a Deletion\n', encoding="utf-8")
     rows = candidates.read_candidates(spark, str(csv))
@@ -220,3 +223,40 @@ def test_changelog_page(spark):
     body = made["M1"]
     assert made["M 7"]["file"] == "M_7.txt" and made["M 7"]["body"].endswith("No entries found.\n")
     assert body["file"] == "M1.txt" and [body["body"].index(x) for x in ("New", "Fixed it", "Old")] == sorted(body["body"].index(x) for x in ("New", "Fixed it", "Old"))
+
+
+def test_changelog_pages_nest(spark):
+    page = """<div class="firmware-table-details"><table><tr data-modelno="M&amp;1"><td class="firmware-message"><div>A &amp; B</div> <i>c</td><td class="firmware-date">x<td class="firmware-message">no</td></tr></table></div>
+      <div class="firmware-table-details"><tr data-modelno="M2"><td class="firmware-message">second wrapper</td></tr></div>"""
+    rows = html.changelog_rows(spark.createDataFrame([(1, page, "old")], "page_id long, html string, model string")).collect()
+    assert [(r["page_id"], r["pos"], r["model"], r["message"]) for r in rows] == [(1, 0, "M&1", "A & B c")]
+
+
+def test_ranked_with_many_ties(spark):
+    r = random.Random(11)
+    rows = [(i, float(r.choice([0, 0, 0, 1, 2.5, r.randrange(50)]))) for i in range(700)]
+    got = {x["i"]: x["rank"] for x in ranking.ranked(spark.createDataFrame(rows, "i long, v double").repartition(5), "v", "i").collect()}
+    assert got == {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+    assert ranking.ranked(spark.createDataFrame([], "i long, v double"), "v", "i").count() == 0
+
+
+def test_motifs_in_parts_equal_whole(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, "p" if i % 3 else "q", "".join(r.choice(["00", "0a", "ff", "b5"]) for _ in range(r.randrange(0, 14)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, zone string, hexed string")
+    for k, wild, contiguous in ((4, 2, False), (9, 2, True), (3, 0, False), (2, 3, False)):
+        want: dict = {}
+        for i, z, h in rows:
+            cells = [h[j : j + 2] for j in range(0, len(h), 2)]
+            for at in range(len(cells) - k + 1):
+                for m, mask in enumerate(mining.masks(k, wild, contiguous)):
+                    p = "".join("??" if j in mask else c for j, c in enumerate(cells[at : at + k]))
+                    n, seen, _, _ = want.get((z, p), (0, (i, at), m, 0))
+                    want[z, p] = (n + 1, min(seen, (i, at)), m, k - len(mask))
+        best = {z: sorted(((-n, -fixed, seen, m, p) for (y, p), (n, seen, m, fixed) in want.items() if y == z and n >= 2))[:12] for z in "pq"}
+        for held in (1 << 20, 16):
+            monkeypatch.setattr(mining, "HELD", held)
+            got = mining.motifs(df, k, wild, contiguous, least=2, top=12).collect()
+            for z in "pq":
+                own = sorted((x["rank"], x["pattern"], x["n"]) for x in got if x["zone"] == z)
+                assert [(p, n) for _, p, n in own] == [(p, -n) for n, _, _, _, p in best[z]], (k, wild, held)
