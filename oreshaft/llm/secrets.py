@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch
+from ._shared import Scratch
 
 SPAN = "struct<start:int,kind:int,stop:int>"
 #: Matches that are put together by one array.
@@ -111,7 +111,7 @@ class Ledger:
     """The scanned (blob, rule_version) pairs under path, in one folder for each scan."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "ledger")
+        self.spark, self.path = spark, path or Scratch(spark).path("ledger", keep=True)
 
     def rows(self) -> DataFrame | None:
         """The ledger so far; None before the first scan."""

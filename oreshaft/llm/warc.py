@@ -40,7 +40,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import scratch, written
+from ._shared import Scratch, written
 
 READ_BYTES = 1 << 16
 STEP_BYTES = 1 << 18
@@ -227,7 +227,7 @@ def write_archives(pages: DataFrame, least: int = 1000) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("sha"), F.octet_length(payload).alias("size"))
     same = keyed.where(F.col("size") >= least).groupBy("sha", "size").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").select("sha", "size", "latest")
     rows = keyed.join(same, ["sha", "size"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("latest")), F.col("latest")).alias("refers_to"))
-    folder = _uri(scratch(pages.sparkSession, "warc"))
+    folder = _uri(Scratch(pages.sparkSession).path("warc", keep=True))
     return written(rows.mapInArrow(_write(folder), "archive string, records bigint, bytes bigint"), "manifest")
 
 
