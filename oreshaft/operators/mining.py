@@ -294,8 +294,10 @@ def dedup_templates(found: DataFrame, share: float = 0.8, by: tuple[str, ...] =
     Shorter templates have few shapes (length and places of ??). Longer ones are cut
     into pieces of those lengths, each piece takes each shape, and the greatest n of
     every shaped piece is kept; a template meets its own piece on equal keys. ?? in a
-    longer one stays in a shape's fixed place and so meets no shorter one.
+    longer one stays in a shape's fixed place and so meets no shorter one. Templates are
+    kept in memory or on disk, as they are read three times.
     """
+    found = found.persist()
     shape = F.regexp_replace("template", "[0-9a-f]{2}", "ff")
     shapes = found.select(*by, F.col("k").alias("short"), shape.alias("shape")).distinct()
     pieces = found.select(*by, "k", "template", "n").join(shapes, [*by]).where("short < k")
