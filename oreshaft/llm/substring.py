@@ -222,7 +222,10 @@ def repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
         first = s.written(map_texts(base, lambda: _runner(least, k), {"n_words": "bigint", "whole_sha": "string", "runs": RUN}, carry=["doc_id", *who]), "runs", keep=True)
         runs = first.select(*who, F.explode("runs").alias("r")).select(*who, "r.*")
         contexts = runs.groupBy("anchor", "context", "check").agg(F.min("did").alias("owner"), F.max("did").alias("other"))
-        several = contexts.groupBy("anchor").agg(F.min("owner").alias("lo"), F.max("owner").alias("hi")).where("lo <> hi").select("anchor", F.lit(True).alias("open"))
+        # written, so that Spark can split the contexts of a frequent anchor in the join
+        ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("did", "context", "check") for f in (F.min, F.max)]
+        several = runs.groupBy("anchor").agg(*ends).where("min_did <> max_did and (min_context <> max_context or min_check <> max_check)")
+        several = s.written(several.select("anchor", F.lit(True).alias("open")), "several")
         shared = s.written(contexts.join(several, "anchor", "left").where("owner <> other or open").select("context", "check", "owner", F.coalesce("open", F.lit(False)).alias("open")), "contexts")
         piece = F.struct("first", "last")
         marks = runs.drop("anchor").join(shared, ["context", "check"]).where("owner < did or open")
