@@ -559,10 +559,10 @@ def autocorr(spark, sf_dir):
 
 
 PHASE = SHORT + """, ph AS (SELECT doc_id, k, pos % k AS j, b, count(*) AS n FROM (SELECT *, unnest({ks}) AS k FROM sb) GROUP BY ALL),
-tot AS (SELECT doc_id, k, j, sum(n) AS t FROM ph GROUP BY ALL),
+tot AS (SELECT g.doc_id, g.k, g.j, coalesce(sum(n), 0) AS t FROM (SELECT doc_id, k, unnest(range(0, k)) AS j FROM (SELECT doc_id, unnest({ks}) AS k FROM blob)) g LEFT JOIN ph ON ph.doc_id = g.doc_id AND ph.k = g.k AND ph.j = g.j GROUP BY ALL),
 pairs AS (SELECT x.doc_id, x.k, x.j AS i, y.j AS j, x.t AS t1, y.t AS t2 FROM tot x JOIN tot y ON x.doc_id = y.doc_id AND x.k = y.k AND x.j < y.j),
 full256 AS (SELECT p.*, b FROM pairs p CROSS JOIN (SELECT unnest(range(0, 256)) AS b) g),
-pq AS (SELECT f.doc_id, f.k, f.i, f.j, (coalesce(a.n, 0) / t1 + 1e-12) / (1 + 256e-12) AS p, (coalesce(c.n, 0) / t2 + 1e-12) / (1 + 256e-12) AS q FROM full256 f
+pq AS (SELECT f.doc_id, f.k, f.i, f.j, (coalesce(a.n, 0) / greatest(t1, 1) + 1e-12) / (least(t1, 1) + 256e-12) AS p, (coalesce(c.n, 0) / greatest(t2, 1) + 1e-12) / (least(t2, 1) + 256e-12) AS q FROM full256 f
   LEFT JOIN ph a ON a.doc_id = f.doc_id AND a.k = f.k AND a.j = f.i AND a.b = f.b LEFT JOIN ph c ON c.doc_id = f.doc_id AND c.k = f.k AND c.j = f.j AND c.b = f.b),
 js AS (SELECT doc_id, k, i, j, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2 AS d FROM pq GROUP BY ALL),
 sc AS (SELECT doc_id, k, avg(d) AS score FROM js GROUP BY ALL)"""

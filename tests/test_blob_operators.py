@@ -260,3 +260,22 @@ def test_motifs_in_parts_equal_whole(spark, monkeypatch):
             for z in "pq":
                 own = sorted((x["rank"], x["pattern"], x["n"]) for x in got if x["zone"] == z)
                 assert [(p, n) for _, p, n in own] == [(p, -n) for n, _, _, _, p in best[z]], (k, wild, held)
+
+
+def test_phases_without_bytes_are_uniform(spark):
+    """A series shorter than k has empty phases, whose smoothed histogram is uniform."""
+    content = b"Osra\xc3\xb1."
+    got = {r["k"]: r["score"] for r in stats.phase_scores(spark.createDataFrame([(1, bytearray(content))], "doc_id long, content binary")).collect()}
+
+    def share(part: bytes) -> np.ndarray:
+        p = np.bincount(np.frombuffer(part, np.uint8), minlength=256) / max(1, len(part)) + 1e-12
+        return p / p.sum()
+
+    for k in range(2, 9):
+        h, d = [share(content[j::k]) for j in range(k)], []
+        for i in range(k):
+            for j in range(i + 1, k):
+                m = (h[i] + h[j]) / 2
+                d.append(((h[i] * np.log2(h[i] / m)).sum() + (h[j] * np.log2(h[j] / m)).sum()) / 2)
+        assert got[k] == pytest.approx(np.mean(d))
+    assert got[8] < 1
