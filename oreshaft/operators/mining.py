@@ -263,8 +263,8 @@ def templates(zones: DataFrame, lengths=range(2, 7), least: int = 3, threshold:
     lo, hi = min(lengths), max(lengths)
     wins = ngrams(zones, lo, hi, (*(c for c in by if c != "zone"), "tag")).where(F.col("k").isin(*lengths))
     each = lambda df: df.withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("b", F.substring(F.col("pattern"), (2 * F.col("pos") + 1).cast("int"), F.lit(2)))
-    tagged = wins.groupBy(*by, "k", "pattern", "tag").agg(F.count("*").alias("n"), F.min(F.shiftleft(F.col("doc_id"), 16) + F.col("at")).alias("seen"))
-    distinct = tagged.groupBy(*by, "k", "pattern").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    first = F.min(F.shiftleft(F.col("doc_id"), 16) + F.col("at")).alias("seen")
+    distinct = wins.groupBy(*by, "k", "pattern").agg(F.count("*").alias("n"), first)
     enough = distinct.groupBy(*by, "k").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
     counts = each(distinct).groupBy(*by, "k", "pos", "b").agg(F.sum("n").alias("n"))
     ent = _entropy(counts, [*by, "k", "pos"])
@@ -273,7 +273,7 @@ def templates(zones: DataFrame, lengths=range(2, 7), least: int = 3, threshold:
     anchors = F.broadcast(anchors)  # a row for each group and length
     keyed = distinct.join(anchors, [*by, "k"]).withColumn("key", key)
     group = [*by, "k", "key"]
-    owners = tagged.join(anchors, [*by, "k"]).withColumn("key", key).groupBy(*group, "tag").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
+    owners = wins.join(anchors, [*by, "k"]).withColumn("key", key).groupBy(*group, "tag").agg(F.count("*").alias("n"), first)
     sizes = owners.groupBy(*group).agg(F.sum("n").alias("n"), F.min("seen").alias("seen"), F.count("*").alias("sources")).where(F.col("n") >= least)
     inner = each(keyed.join(sizes.select(*group), group, "left_semi")).groupBy(*group, "pos", "b").agg(F.sum("n").alias("n"), F.min("seen").alias("seen"))
     best = inner.groupBy(*group, "pos").agg(F.min_by("b", F.struct(-F.col("n"), F.col("seen"))).alias("b"))
