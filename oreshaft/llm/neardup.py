@@ -7,13 +7,19 @@ branches on two more minwise tokens, so that a pair of similarity 0.8 or more
 survives any depth with a probability of 0.75 a tree, and the number of trees
 follows from the target recall. Nodes are told by a hash of their path, counted,
 and branched level by level in Spark; only large nodes take part in the next
-level. Of small nodes with the same members one is kept.
+level.
 
-Small nodes are compared exhaustively on full shingle sets. In a node, members that
+A small node is first split by its members' counts of shingles in a few bins: the
+counts of two sets differ in all by at most the shingles that one of them alone
+has, and so tell most members that only share a minwise token apart from all others
+without their texts, and never two that link. Of groups with the same members one
+is kept.
+
+Groups are compared exhaustively on full shingle sets. In a group, members that
 share no token among the rarest ones, of which two similar sets must share one, are
 told apart first; of the others a pivot is compared with all, and, by the triangle
 inequality of Jaccard distance, only members near enough to the pivot's matches are
-compared with these. What comes out is a spanning set of links of each node's
+compared with these. What comes out is a spanning set of links of each group's
 components, never all pairs, so that a group of copies costs as much as it has
 members.
 
@@ -22,7 +28,8 @@ links with it are its hosts, one component, which go no further. Others that the
 triangle inequality lets link with a host are guests: each block of a node's guests
 is compared with each block of its hosts. All but the hosts branch on, and so each
 level costs two comparisons, whatever the data. What is still large at the last
-level is compared two blocks at a time. No node, partner or candidate is dropped.
+level is compared two blocks at a time. No node, partner or candidate that could
+link is dropped.
 
 Texts are read twice: once for the roots' tokens, once for the candidates' sets,
 which are shuffled once and kept by id for all comparisons and branches.
@@ -56,6 +63,8 @@ LEAF = 4096
 BOUND = 1 << 21
 #: Nodes of fewer members are compared at once, without looking for rare tokens.
 FEW = 24
+#: Bins of the shingle counts that split small nodes; a count is kept modulo 16.
+BINS = 128
 
 
 def trees_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
@@ -66,8 +75,16 @@ def trees_for(recall: float = RECALL, similarity: float = SIMILARITY) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity * g))
 
 
+def _binned(x: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Counts of each set's shingles (x, end to end) in BINS bins, modulo 16, two in a byte."""
+    at = np.repeat(np.arange(len(size)), size) * BINS + (x & np.uint64(BINS - 1)).astype(np.int64)
+    low = (np.bincount(at, minlength=len(size) * BINS) & 15).astype(np.uint8).reshape(-1, 2)
+    packed = (low[:, 0] | low[:, 1] << 4).tobytes()
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(BINS // 2), len(size), [None, pa.py_buffer(packed)]).cast(pa.binary())
+
+
 def _sketcher(n: int, trees: int, level: int, fold: bool):
-    """Set sizes, two checksums, and minwise tokens: one of each tree at level 0, else BRANCH of each."""
+    """Set sizes, two checksums, and minwise tokens: one of each tree and the binned counts at level 0, else BRANCH of each."""
     seps = separators()
     count = trees * (BRANCH if level else 1)
     r = np.random.default_rng([20, level])
@@ -75,7 +92,7 @@ def _sketcher(n: int, trees: int, level: int, fold: bool):
     add = r.integers(0, 1 << 32, count).astype(np.uint32)
 
     def kernel(column):
-        sizes, sums, xors, least = [], [], [], []
+        sizes, sums, xors, least, bins = [], [], [], [], []
         for t in texts(column, seps, fold):
             x, bounds = shingles(t, t.hashes(), n)
             size = np.diff(bounds)
@@ -96,14 +113,74 @@ def _sketcher(n: int, trees: int, level: int, fold: bool):
             sums.append(a.view(np.int64))
             xors.append(b.view(np.int64))
             least.append(m.view(np.int32).ravel())
+            if not level:
+                bins.append(_binned(x, size))
         rows = sum(map(len, sizes))
         values = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * count), pa.array(np.concatenate(least)))
-        return [pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(sums)), pa.array(np.concatenate(xors)), values]
+        out = [pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(np.concatenate(sums)), pa.array(np.concatenate(xors)), values]
+        return out if level else [*out, pa.concat_arrays(bins)]
 
     return kernel
 
 
 SKETCH = {"n": "bigint", "sa": "bigint", "sb": "bigint", "mh": "array<int>"}
+ROOT_SKETCH = SKETCH | {"bins": "binary"}
+
+
+def may_link(n: np.ndarray, bins: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Members, in ascending order of their sizes n, in groups between which no two are linked; those that link with none are left out.
+
+    Two linked sets differ in at most (100 - percent) / (100 + percent) of their sizes'
+    sum; their counts, and so these modulo 16 on a circle, differ by no more in all.
+    """
+    counts = np.stack((bins & 15, bins >> 4), 2).reshape(len(n), -1)
+    label, end = np.arange(len(n)), np.searchsorted(n * percent, n * 100, "right")
+    for i in range(len(n) - 1):
+        among = np.flatnonzero(label[i + 1 : end[i]] != label[i]) + i + 1
+        d = (counts[among] - counts[i]) & 15
+        apart = np.minimum(d, 16 - d).sum(1, dtype=np.uint16).astype(np.int64)
+        met = label[among[(100 + percent) * apart <= (100 - percent) * (n[i] + n[among])]]
+        if len(met):
+            label[np.isin(label, met) | (label == label[i])] = min(met.min(), label[i])
+    order = np.argsort(label, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    return [g for g in groups if len(g) > 1]
+
+
+#: A group of a small node's members that may link; who and members tell equal ones.
+GROUP = "key bigint, block bigint, id bigint, who bigint, members bigint"
+
+
+def _splitter(similarity: float):
+    """Rows (key, id, n, w, bins), a key's together by n, to rows of GROUP."""
+    percent = round(similarity * 100)
+    names = [c.split()[0] for c in GROUP.split(", ")]
+
+    def node(key: int, t: pa.Table) -> Iterator[tuple]:
+        ids, w, n = (t[c].to_numpy() for c in ("id", "w", "n"))
+        bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(len(n), -1)
+        for block, g in enumerate(may_link(n, bins, percent)):
+            same = np.ones(len(g), np.int64)
+            yield same * key, same * block, ids[g], same * np.bitwise_xor.reduce(w[g]), same * len(g)
+
+    def solved(t: pa.Table, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        key = t["key"].to_numpy()
+        out = [x for lo, hi in zip(cuts[:-1], cuts[1:]) for x in node(key[lo], t.slice(lo, hi - lo))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            cuts = [0, *(np.flatnonzero(np.diff(t["key"].to_numpy())) + 1).tolist()]
+            held = t.slice(cuts[-1])
+            yield from solved(t, cuts)
+        if held is not None and len(held):
+            yield from solved(held, [0, len(held)])
+
+    return run
 
 
 class Sets:
@@ -262,7 +339,7 @@ def _solver(n: int, similarity: float, fold: bool, kind: str):
 
 
 class Join:
-    """The similarity join of the classes reps (n, sa, sb, rep, mh), whose texts are in docs (doc_id, text)."""
+    """The similarity join of the classes reps (n, sa, sb, rep, mh, bins), whose texts are in docs (doc_id, text)."""
 
     def __init__(self, reps: DataFrame, docs: DataFrame, s: Scratch, shingle: int, similarity: float, recall: float, fold: bool, leaf: int, bound: int):
         self.reps, self.docs, self.s, self.shingle, self.similarity, self.fold, self.leaf, self.bound = reps, docs, s, shingle, similarity, fold, leaf, bound
@@ -287,12 +364,14 @@ class Join:
         small = []
         for level in range(1, DEPTH + 2):
             counts = self.s.written(rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor("w").alias("who"), F.sum("n").alias("sum")).where("members > 1"), "counts")
-            if level == 1:
-                self._fetch(rows.join(counts, "key", "left_semi").select("id").distinct())
             large = (F.col("members") > self.leaf) | (F.col("sum") > self.bound)
-            small.append((rows, counts.where(~large)))
+            small.append(self.split(rows.join(counts.where(~large), "key", "left_semi")))
             big = counts.where(large).select("key", F.ceil(F.col("sum") / self.bound).alias("blocks"))
-            if big.isEmpty():
+            none = big.isEmpty()
+            if level == 1:
+                ids = small[0].select("id")
+                self._fetch((ids if none else ids.unionByName(rows.join(big, "key", "left_semi").select("id"))).distinct())
+            if none:
                 break
             rest = self.settle(rows.join(big, "key"))
             if level > DEPTH:
@@ -310,6 +389,13 @@ class Join:
         wanted = self.docs.repartition(self.parts, "doc_id").join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         self.texts = self.s.bucketed(wanted.dropDuplicates(["doc_id", "text"]), "near_texts", self.parts, "doc_id")
 
+    def split(self, rows: DataFrame) -> DataFrame:
+        """Small nodes' members in groups (GROUP) that may link."""
+        bins = self.reps.select(F.col("rep").cast("bigint").alias("id"), "bins")
+        full = rows.select("key", "id", "n", "w").join(bins, "id").select("key", "id", "n", "w", "bins")
+        dealt = full.repartition(self.parts, "key").sortWithinPartitions("key", "n", "id")
+        return self.s.written(dealt.mapInArrow(_splitter(self.similarity), GROUP), "groups")
+
     def settle(self, big: DataFrame) -> DataFrame:
         """Compare large nodes' members with a pivot each, and those that may link with what it links with; returns the others' rows.
 
@@ -353,19 +439,14 @@ class Join:
         pairs = rest.withColumn("other", other).where((F.col("halves") == 1) | (F.col("own") != F.col("other")))
         self.compare(pairs.select("key", (F.least("own", "other") * F.col("halves") + F.greatest("own", "other")).alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt"), "all", "blocks")
 
-    def nodes(self, small: list[tuple[DataFrame, DataFrame]]) -> None:
-        """Compare the small nodes, one for each set of members."""
-        sums = None
-        for _, done in small:
-            sums = done if sums is None else sums.unionByName(done)
-        chosen = sums.groupBy("who", "members").agg(F.min("key").alias("key")).select("key")
-        if len(small) > 1:
-            chosen = self.s.written(chosen, "chosen")
-        members = None
-        for rows, _ in small:
-            own = rows.join(chosen, "key").select("key", F.lit(0).cast("bigint").alias("block"), F.lit(1).alias("side"), "id", "tree", "n", "w", "alt")
-            members = own if members is None else members.unionByName(own)
-        self.compare(members, "all", "compared")
+    def nodes(self, small: list[DataFrame]) -> None:
+        """Compare the small nodes' groups (GROUP), one for each set of members."""
+        every = small[0]
+        for more in small[1:]:
+            every = every.unionByName(more)
+        chosen = every.groupBy("who", "members").agg(F.min(F.struct("key", "block")).alias("one")).select("one.*")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in MEMBER.split(", ")[4:])]
+        self.compare(every.join(chosen, ["key", "block"], "left_semi").select("key", "block", F.lit(1).alias("side"), "id", *none), "all", "compared")
 
 
 def own_links(sketch: DataFrame, reps: DataFrame, s: Scratch) -> DataFrame:
@@ -388,8 +469,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     trees = trees_for(recall, similarity)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     with Scratch(docs.sparkSession) as s:
-        sketch = s.written(map_texts(base, lambda: _sketcher(shingle, trees, 0, fold), SKETCH, carry=["doc_id"]), "sketch", keep=True)
-        reps = s.written(sketch.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.min_by("mh", "doc_id").alias("mh")), "reps", keep=True)
+        sketch = s.written(map_texts(base, lambda: _sketcher(shingle, trees, 0, fold), ROOT_SKETCH, carry=["doc_id"]), "sketch", keep=True)
+        reps = s.written(sketch.where("n > 0 and doc_id is not null").groupBy("n", "sa", "sb").agg(F.min("doc_id").alias("rep"), F.min_by("mh", "doc_id").alias("mh"), F.min_by("bins", "doc_id").alias("bins")), "reps", keep=True)
         join = Join(reps, base, s, shingle, similarity, recall, fold, leaf, bound)
         label = s.written(components(join.links().unionByName(own_links(sketch, reps, s)), s), "label", keep=True)
     group = reps.select("n", "sa", "sb", "rep").join(label, F.col("rep") == F.col("v"), "left").select("n", "sa", "sb", F.coalesce("label", "rep").alias("component_id"))

@@ -143,6 +143,31 @@ def test_members_apart_are_not_linked():
     assert len({(a, int(b)) for a, b in zip(label, root)}) == len(set(label)) == len(set(root.tolist()))
 
 
+def test_bins_part_no_linked_members():
+    """A link of exactly 0.8 stays in a group, also where counts exceed a bin's range; unrelated sets are left out."""
+    r = np.random.default_rng(5)
+    new = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    parts = []
+    for size in (1, 4, 9, 40, 90, 400, 9000):
+        base = new(size)
+        more, cut = np.concatenate((base, new(size // 4))), size // 9
+        parts += [base, more, np.concatenate((base[cut:], new(cut))), new(size)]
+    parts = sorted((np.unique(p) for p in parts), key=len)
+    size = np.array([len(p) for p in parts])
+    bins = np.array([list(b) for b in neardup._binned(np.concatenate(parts), size).to_pylist()], np.uint8)
+    group = {int(m): i for i, g in enumerate(neardup.may_link(size, bins, 80)) for m in g}
+    links = 0
+    for i in range(len(parts)):
+        for j in range(i):
+            inter = len(np.intersect1d(parts[i], parts[j]))
+            if 100 * inter >= 80 * (size[i] + size[j] - inter):
+                links += 1
+                assert group[i] == group[j]
+    assert links >= 12
+    alone = np.array([100, 100]), np.array([list(b) for b in neardup._binned(new(200), np.array([100, 100])).to_pylist()], np.uint8)
+    assert neardup.may_link(*alone, 80) == []
+
+
 # --- op8 ----------------------------------------------------------------------
 
 

@@ -353,6 +353,29 @@ def test_near_duplicate_chains_and_large_groups(spark):
         assert rows_of(neardup.near_duplicates(df, **limits), "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows)
 
 
+def test_near_duplicates_hold_only_texts_that_may_link(spark, monkeypatch):
+    """Texts that share half of their shingles meet in nodes; only the near copies among them are held and compared."""
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(9999)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        half = words(200)
+        rows += [(10 * i + k, " ".join(half + words(200))) for k in range(3)]
+    rows += [(1000 + i, rows[7 * i][1] + " end") for i in range(5)]
+    held, bucketed = [], Scratch.bucketed
+
+    def counted(self, df, name, *args, **named):
+        out = bucketed(self, df, name, *args, **named)
+        if name == "near_texts":
+            held.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "bucketed", counted)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == brute_components(rows)
+    assert held == [10]
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (50, 3)]
     got = components.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark))
