@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
+import pytest
+from pyspark.sql import types as T
 
 from __spark_entry__ import queries
+from oreshaft.operators import stats
 from oreshaft.sources import blobs
 
 
@@ -30,3 +34,37 @@ def test_empty_blobs_with_odd_names_and_other_suffixes(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = {(r["device"], r["file_name"], r["length"], bytes(r["content"])) for r in blobs.read_blobs(spark, str(tmp_path)).collect()}
     assert got == {("d", "a b+%41.dat", 0, b""), ("e", "c.dat", 0, b""), ("d", "full %.dat", 2, b"12")}
+
+
+class Recorded:
+    """Stands in for a DataFrame and keeps the function that goes to the tasks."""
+
+    def __init__(self, schema):
+        self.schema, self.columns = schema, schema.names
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("operator", [stats.autocorrelation, stats.sliding_entropy, stats.phase_scores])
+def test_rows_of_series_leave_a_task_some_at_a_time(operator):
+    df = Recorded(T.StructType().add("doc_id", "long").add("content", "binary"))
+    operator(df)
+    contents = [bytes(range(256)) * (400 if i % 1000 == 0 else 0) + b"abc" * 30 for i in range(20_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20_000), pa.int64()), pa.array(contents, pa.binary())], names=["doc_id", "content"])
+    sizes = [b.num_rows for b in df.run(iter([batch]))]
+    assert len(sizes) > 1 and max(sizes) <= stats.GIVEN + stats.WINDOWS
+
+
+@pytest.mark.parametrize("n", [3000, 5])
+def test_exact_sums_of_long_series_agree(n, monkeypatch):
+    df = Recorded(T.StructType().add("content", "binary"))
+    stats.autocorrelation(df)
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(i * i % 251 for i in range(n)), b"z" * n], pa.binary())], names=["content"])
+    short = pa.Table.from_batches(df.run(iter([batch]))).to_pydict()
+    monkeypatch.setattr(stats, "EXACT", 1)
+    assert pa.Table.from_batches(df.run(iter([batch]))).to_pydict() == short and 0.0 in short["r"]
