@@ -45,6 +45,15 @@ def longs(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def words(cells: np.ndarray, k: int, count: int, kept: list[int]) -> list[np.ndarray]:
+    """The k bytes from every column on as `count` unsigned longs, zeros behind and at places that are not kept."""
+    n = cells.shape[1] - k + 1
+    out = [np.zeros((cells.shape[0], n), np.uint64) for _ in range(count)]
+    for j in kept:
+        out[j // 8] |= cells[:, j : j + n].astype(np.uint64) << np.uint64(8 * (7 - j % 8))
+    return out
+
+
 def first_matches(cells: np.ndarray, size: np.ndarray, pattern: str) -> np.ndarray:
     """Each row's first place where the hex pattern, with ?? for any byte, matches; -1 for none."""
     k = len(pattern) // 2
@@ -58,14 +67,33 @@ def first_matches(cells: np.ndarray, size: np.ndarray, pattern: str) -> np.ndarr
     return np.where(hit.any(1), hit.argmax(1), -1)
 
 
+def order_of(keys: list[np.ndarray]) -> np.ndarray:
+    """Row numbers by keys, the first one foremost; equal rows in any order. Constant keys cost nothing, a last one is sorted by the fastest way."""
+    varied = [k for k in keys if len(k) and (k != k[0]).any()]
+    if not varied:
+        return np.arange(len(keys[0]))
+    order = np.argsort(varied[-1])
+    for k in varied[-2::-1]:
+        if k.min() >= 0 and k.max() < 1 << 16:
+            k = k.astype(np.uint16)  # sorted by digits
+        order = order[np.argsort(k[order], kind="stable")]
+    return order
+
+
+def starts(keys: list[np.ndarray]) -> np.ndarray:
+    """The first row of each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 def grouped(keys: list[np.ndarray], n: np.ndarray, seen: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct keys with the sum of n and the least seen."""
-    order = np.lexsort(keys[::-1])
+    """Distinct keys, in order, with the sum of n and the least seen."""
+    order = order_of(keys)
     keys = [k[order] for k in keys]
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
+    at = starts(keys)
     if not len(at):
         return keys, n, seen
     return [k[at] for k in keys], np.add.reduceat(n[order], at), np.minimum.reduceat(seen[order], at)
