@@ -366,8 +366,8 @@ KGRAM = """kg AS (SELECT zone, k, pattern, count(*) AS n, min((doc_id, k, o)) AS
 @query(f"""WITH {WINDOWS}, {_grams(4, 12, "zone IN ('start_post', 'end_pre')")}, {KGRAM}
 SELECT zone, k, pattern, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY zone, k ORDER BY n DESC, seen) AS rank FROM kg) WHERE rank <= 30""")
 def kgram_topk(spark, sf_dir):
-    grams = mining.ngrams(_windows(spark, sf_dir).where("zone in ('start_post', 'end_pre')"), 4, 12).where("k in (4, 6, 8, 10, 12)")
-    return mining.top_patterns(mining.counted(grams, ("zone", "k")), ("zone", "k"), 30).select("zone", "k", "pattern", "n", "rank")
+    w = _windows(spark, sf_dir).where("zone in ('start_post', 'end_pre')")
+    return mining.top_grams(w, (4, 6, 8, 10, 12), 30).select("zone", "k", "pattern", "n", "rank")
 
 
 NGRAM = "c AS (SELECT zone, pattern, count(*) AS n, min((doc_id, k, o)) AS seen, count(DISTINCT tag) AS sources FROM gram GROUP BY ALL)"

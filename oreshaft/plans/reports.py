@@ -94,14 +94,13 @@ def boundary(found: DataFrame, window: int = 64, lo: int = 4, hi: int = 16, top:
     w = regions.boundary_windows(found, window)
     at = lambda *z: w.where(F.col("zone").isin(*z))
     best = lambda counts: mining.top_patterns(counts, top=top, longest_first=True)
-    grams = mining.ngrams(at("start_post", "end_pre"), min(kgrams), max(kgrams)).where(F.col("k").isin(*kgrams))
     return {
         "windows": w,
         "prologue_prefix": best(mining.prefixes(at("start_post"), lo, hi)),
         "prologue_suffix": best(mining.suffixes(at("start_pre"), lo, hi)),
         "epilogue_suffix": best(mining.suffixes(at("end_pre"), lo, hi)),
         "epilogue_prefix": best(mining.prefixes(at("end_post"), lo, hi)),
-        "kgrams": mining.top_patterns(mining.counted(grams, ("zone", "k")), ("zone", "k"), top),
+        "kgrams": mining.top_grams(at("start_post", "end_pre"), kgrams, top),
     }
 
 
