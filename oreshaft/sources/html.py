@@ -15,6 +15,8 @@ from ..functions.bytes import changelog_date, normalize_space, safe_filename
 #: The wrapper's class, the rows' attribute, the cells' classes, and elements without an end tag.
 WRAPPER, MODEL = "firmware-table-details", "data-modelno"
 CELLS = ("firmware-date", "firmware-version", "firmware-message")
+#: Rows of pages that a task makes before they leave it.
+GIVEN = 1 << 12
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -87,11 +89,20 @@ def changelog_rows(pages: DataFrame, models: list[str] | None = None, html: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(i, *row) for i, page in enumerate(b.column(len(keep)).to_pylist()) for row in parsed(page)]
-            if found:
+            found: list = []
+
+            def made():
                 who, pos, *texts = zip(*found)
                 at = pa.array(who, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keep))), pa.array(pos, pa.int32()), *(pa.array(x, pa.string()) for x in texts)], names=[*keep, *new])
+                return pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(keep))), pa.array(pos, pa.int32()), *(pa.array(x, pa.string()) for x in texts)], names=[*keep, *new])
+
+            for i, page in enumerate(b.column(len(keep))):  # one page as text at a time
+                found.extend((i, *row) for row in parsed(page.as_py()))
+                if len(found) >= GIVEN:
+                    yield made()
+                    found = []
+            if found:
+                yield made()
 
     schema = T.StructType([source.schema[c] for c in keep]).add("pos", "integer")
     for c in new[1:]:
