@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,15 +43,48 @@ def ranked(rows: DataFrame, value: str, tie: str, name: str = "rank") -> DataFra
     return dealt.join(F.broadcast(start), ["__a", "__b"]).withColumn(name, F.col("__n") + at).drop("__a", "__b", "__n")
 
 
-def tag_lists(rows: DataFrame, by: list[str], shown: int = 6) -> DataFrame:
-    """(by, sources, tags, more) of rows (by, tag): how many distinct tags, the first `shown` of them and how many others."""
-    each = rows.select(*by, "tag").distinct()
-    first = each.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("tag"))).where(F.col("__r") <= shown)
+def tag_lists(rows: DataFrame, by: list[str], shown: int = 6, distinct: bool = False) -> DataFrame:
+    """(by, sources, tags, more) of rows (by, tag): how many distinct tags (distinct: they are so already), the first `shown` of them and how many others."""
+    each = rows.select(*by, "tag") if distinct else rows.select(*by, "tag").distinct()
+    first = first_tags(rows, by, shown).distinct().withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("tag"))).where(F.col("__r") <= shown)
     listed = first.groupBy(*by).agg(F.sort_array(F.collect_list("tag")).alias("tags"))
     counts = each.groupBy(*by).agg(F.count("*").alias("sources"))
     return counts.join(listed, by).withColumn("more", F.greatest(F.lit(0).cast("bigint"), F.col("sources") - shown))
 
 
+#: Rows that a task compares at a time.
+HELD = 1 << 18
+
+
+def first_tags(rows: DataFrame, by: list[str], shown: int) -> DataFrame:
+    """Rows (by, tag) among which are the first `shown` tags of every group: those of each task's groups, without sorting its rows by group."""
+    source = rows.select(*by, "tag")
+
+    def cut(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks().group_by(t.column_names, use_threads=False).aggregate([])
+        t = t.take(pc.sort_indices(t, sort_keys=[(c, "ascending") for c in t.column_names], null_placement="at_start"))
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for c in t.column_names[:-1]:
+            code = t.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        at = np.arange(len(t))
+        return t.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < shown))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for b in batches:
+            held.append(pa.Table.from_batches([b]))
+            if sum(map(len, held)) >= HELD:
+                held = [cut(pa.concat_tables(held))]
+                if len(held[0]) > HELD // 2:  # many groups
+                    yield from held.pop().to_batches()
+        if held:
+            yield from cut(pa.concat_tables(held)).to_batches()
+
+    return source.mapInArrow(run, source.schema)
+
+
 def sources_text(tags: str = "tags", more: str = "more") -> Column:
     """`a, b (+3 more)`"""
     return F.concat(F.array_join(tags, ", "), F.when(F.col(more) > 0, F.concat(F.lit(" (+"), F.col(more).cast("string"), F.lit(" more)"))).otherwise(""))

@@ -160,6 +160,14 @@ def scores(hits: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def report(hits: DataFrame, by: tuple[str, ...] = ("zone",), shown: int = 6) -> DataFrame:
-    """(ordinal, name, by, hits, sources, tags, more) in the registry's order: the first `shown` tags and how many others there are."""
-    key = ["ordinal", "name", *by]
-    return hits.groupBy(*key).agg(F.count("*").alias("hits")).join(tag_lists(hits, key, shown), key)
+    """(ordinal, name, by, hits, sources, tags, more) in the registry's order: the first `shown` tags and how many others there are.
+
+    A tag's signatures in a group are bits of longs, so that a task holds a row for each
+    tag and not for each of its hits.
+    """
+    key = ["ordinal", *by]
+    o = F.col("ordinal")
+    sets = hits.groupBy(*by, "tag", F.floor(o / 62).cast("int").alias("__w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (o % 62).cast("int"))).alias("__bits"))
+    bit = F.explode(F.filter(F.sequence(F.lit(0), F.lit(61)), lambda i: F.call_function("shiftright", F.col("__bits"), i).bitwiseAND(F.lit(1).cast("bigint")) == 1))
+    each = sets.select(*by, "tag", "__w", bit.alias("__b")).select((F.col("__w") * 62 + F.col("__b")).alias("ordinal"), *by, "tag")
+    return hits.groupBy("ordinal", "name", *by).agg(F.count("*").alias("hits")).join(tag_lists(each, key, shown, distinct=True), key).select("ordinal", "name", *by, "hits", "sources", "tags", "more")
